@@ -133,3 +133,26 @@ def sequence_hashes(values: np.ndarray, length: int) -> np.ndarray:
         out *= U64(_MULTIPLIER)
         out += values[k : k + n]
     return mix(out)
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of a sequence of 64-bit values."""
+    powers, inverses = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts] ^ ((ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
+
+
+def window_minima(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least value of every window of ``width`` values and its leftmost place."""
+    best, place, span = values, np.arange(len(values), dtype=np.int32), 1
+    while span < width:
+        step = min(span, width - span)
+        n = len(best) - step
+        if n <= 0:
+            return best[:0], place[:0]
+        lower = best[step:] < best[:n]
+        best = np.where(lower, best[step:], best[:n])
+        place = np.where(lower, place[step:], place[:n])
+        span += step
+    return best, place

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, media, mixing, simhash, token_count, toxicity, url_filter
+from coppice.llm import decontaminate, media, mixing, simhash, substring, token_count, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_simhash": op3_simhash,
         "op4_media": op4_media,
+        "op5_substring": op5_substring,
         "op8_decontaminate": op8_decontaminate,
         "op9_url_filter": op9_url_filter,
         "op10_token_count": op10_token_count,
