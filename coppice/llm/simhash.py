@@ -6,14 +6,8 @@ lower-cased; the shingles of ``width`` words, repeats included, are hashed by XX
 sequence is the one shingle. No words (null or blank texts): fingerprint zero, linked like
 any other.
 
-Join: two fingerprints within ``budget`` = 4 bits agree on at least 2 of 6 blocks, so the
-distinct fingerprints are dealt out by each pair of blocks (15 keys each). Within a key the
-fingerprints form a binary trie which is joined with itself level by level: node pairs are
-expanded together, their differing bits accumulate, and a pair goes once it exceeds the
-budget or once all that lies below it is already one component. Each key yields a spanning
-forest of its links, never all pairs. A key with over ``group_limit`` fingerprints is not
-gathered: its rows go on to a next round that also deals by pairs of trie prefixes within
-the budget, until every group fits.
+Join: ``hamming.hamming_links``, a binary-trie self-join with a budget of 4 bits over the
+distinct fingerprints, dealt by pairs of equal blocks out of six.
 
 Equal fingerprints are collapsed before the join, so copies cost one row. Rows that repeat
 a doc_id are kept; a null doc_id gets a component id but never names one.
@@ -30,22 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.components import components
+from coppice.llm.hamming import hamming_links
 from coppice.session import cut, ship
 
-U64 = np.uint64
-
 #: Widths of the six blocks of a fingerprint, from the lowest bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
-def block_masks() -> list[int]:
-    masks, at = [], 0
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << at)
-        at += width
-    return masks
-
-
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The unsigned fingerprint of one UTF-8 text."""
     words = text.lower().split()
@@ -80,209 +65,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
     return out.withColumnRenamed("k", key)
 
 
-def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Component labels (smallest index) after linking a[i] with b[i]."""
-    while len(a):
-        low = np.minimum(labels[a], labels[b])
-        np.minimum.at(labels, labels[a], low)
-        np.minimum.at(labels, labels[b], low)
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels = up
-        open_ = labels[a] != labels[b]
-        a, b = a[open_], b[open_]
-    return labels
-
-
-def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier: int = 1 << 20) -> np.ndarray:
-    """Labels of the components within each group of keys that lie within ``budget`` bits.
-
-    The rows must be sorted by group, then key. All tries (one for each group) are joined
-    with themselves at once; at most about ``frontier`` node pairs are held, the rest waits
-    on a stack. A component's label is the index of its first row.
-    """
-    n = len(keys)
-    labels = np.arange(n)
-    if n < 2:
-        return labels
-    new_group = np.empty(n, bool)
-    new_group[0] = True
-    new_group[1:] = groups[1:] != groups[:-1]
-    starts, ids = [np.flatnonzero(new_group)], [np.cumsum(new_group) - 1]
-    differs = np.zeros(n, np.uint64)
-    differs[1:] = keys[1:] ^ keys[:-1]
-    for level in range(64):  # nodes of each depth as runs of sorted rows
-        fresh = new_group | (differs >> U64(63 - level) != 0)
-        starts.append(np.flatnonzero(fresh))
-        ids.append(np.cumsum(fresh) - 1)
-    children = []
-    for level in range(64):
-        first = starts[level + 1]
-        bit = (keys[first] >> U64(63 - level)) & U64(1)
-        parent = ids[level][first]
-        pair = np.full((2, len(starts[level])), -1, np.int64)
-        pair[0, parent[bit == 0]] = np.flatnonzero(bit == 0)
-        pair[1, parent[bit == 1]] = np.flatnonzero(bit == 1)
-        children.append(pair)
-    sizes = np.diff(np.append(starts[0], n))
-    for step in range(1, budget + 1) if sizes.max() > 64 else (budget,):
-        low = [np.minimum.reduceat(labels, s) for s in starts]
-        high = [np.maximum.reduceat(labels, s) for s in starts]
-        roots = np.flatnonzero(sizes > 1)
-        stack = [(0, roots, roots, np.zeros(len(roots), np.int8))]
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        while stack:
-            level, x, y, spent = stack.pop()
-            one = (np.diff(np.append(starts[level], n))[x] == 1) & (np.diff(np.append(starts[level], n))[y] == 1)
-            if one.any():  # single leaves: the rest of the path at once
-                p, q = starts[level][x[one]], starts[level][y[one]]
-                near = (np.bitwise_count(keys[p] ^ keys[q]) <= step) & (p != q)
-                links.append((p[near], q[near]))
-                x, y, spent = x[~one], y[~one], spent[~one]
-            if not len(x):
-                continue
-            if level == 64:
-                links.append((starts[64][x], starts[64][y]))
-                continue
-            if len(x) > frontier:
-                half = len(x) // 2
-                stack += [(level, x[:half], y[:half], spent[:half]), (level, x[half:], y[half:], spent[half:])]
-                continue
-            pair = children[level]
-            found = []
-            for i, j in ((0, 0), (1, 1), (0, 1), (1, 0)):
-                u, v = pair[i][x], pair[j][y]
-                ok = (u >= 0) & (v >= 0)
-                if i != j:
-                    ok &= (spent < step) & ((x != y) | (i < j))
-                u, v, s = u[ok], v[ok], spent[ok] + (i != j)
-                lo, hi = low[level + 1], high[level + 1]
-                done = (lo[u] == hi[u]) & (lo[v] == hi[v]) & (lo[u] == lo[v])
-                found.append((u[~done], v[~done], s[~done].astype(np.int8)))
-            x, y, spent = (np.concatenate(c) for c in zip(*found))
-            if len(x):
-                stack.append((level + 1, x, y, spent))
-        if links:
-            a, b = (np.concatenate(c) for c in zip(*links))
-            labels = _settle(labels, a, b)
-    return labels
-
-
-EDGES = "a long, b long, held string"
-
-
-def _join_groups(limit: int, budget: int):
-    """Reads rows (held, fp) sorted by held; yields links, and the rows of groups over ``limit`` unjoined."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
-        count, passing = 0, None
-
-        def links(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            _, group = np.unique(keys, return_inverse=True)
-            order = np.lexsort((values, group))
-            group, values = group[order], values[order]
-            keep = np.ones(len(values), bool)
-            keep[1:] = (values[1:] != values[:-1]) | (group[1:] != group[:-1])
-            group, values = group[keep], values[keep]
-            labels = trie_components(group, values, budget)
-            member = np.flatnonzero(labels != np.arange(len(labels)))
-            return out(values[labels[member]], values[member], None)
-
-        def out(a: np.ndarray, b: np.ndarray, held: np.ndarray | None) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.string()) if held is None else pa.array(held, pa.string())], names=["a", "b", "held"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = batch.column(0).to_numpy(zero_copy_only=False).astype(object)
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            pending.append((held, fp))
-            count += len(fp)
-            if count <= 2 * limit:
-                continue
-            held, fp = (np.concatenate(c) for c in zip(*pending))
-            heads = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-            last = heads[-1]  # the last group may go on in the next batch
-            ends = np.append(heads[1:], len(held))
-            big = (ends - heads > limit) | (held[heads] == passing)
-            if big.any():
-                mask = np.repeat(big, ends - heads)
-                yield out(fp[mask], fp[mask], held[mask])
-                passing = held[last] if big[-1] else None
-            else:
-                mask, passing = np.zeros(len(held), bool), None
-            ready = ~mask
-            ready[last:] = False
-            if ready.any():
-                yield links(held[ready], fp[ready])
-            rest = ~mask
-            rest[:last] = False
-            pending, count = [(held[rest], fp[rest])], int(rest.sum())
-        if pending:
-            held, fp = (np.concatenate(c) for c in zip(*pending))
-            through = held == passing if passing is not None else np.zeros(len(held), bool)
-            if through.any():
-                yield out(fp[through], fp[through], held[through])
-            if not through.all():
-                yield links(held[~through], fp[~through])
-
-    return join
-
-
-def _dealt(prints: DataFrame) -> DataFrame:
-    """Each fingerprint once for every pair of blocks, under a key of the pair and their bits."""
-    masks = block_masks()
-    pairs = [(i, j) for i in range(6) for j in range(i)]
-    keys = F.array(*[F.concat(F.lit(f"{chr(65 + k)}"), F.hex(F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))))) for k, (i, j) in enumerate(pairs)])
-    return prints.select(F.explode(keys).alias("held"), "fp")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _near_prefixes(bits: int, budget: int) -> list[int]:
-    return [m for m in range(1 << bits) if bin(m).count("1") <= budget]
-
-
-def hamming_links(prints: DataFrame, budget: int = 4, group_limit: int = 100_000, prefix_bits: int = 6, parts: int | None = None) -> DataFrame:
-    """Links (a, b) that connect exactly the distinct values of ``prints.fp`` within ``budget`` bits.
-
-    The links are a spanning forest for each group of the join: chains of links reach what
-    chains of near pairs reach.
-    """
-    if budget > 4:
-        raise ValueError("six blocks leave two equal ones for at most four differing bits")
-    spark = prints.sparkSession
-    ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows, found, depth = _dealt(prints.select("fp").distinct()), None, 0
-    while True:
-        joined = cut(rows.repartition(parts, "held").sortWithinPartitions("held").mapInArrow(_join_groups(group_limit, budget), EDGES))
-        links = joined.filter("held is null").select("a", "b")
-        found = links if found is None else found.unionByName(links)
-        wide = joined.filter("held is not null")
-        if depth + prefix_bits > 64 or wide.isEmpty():
-            return found
-        # Over-full groups: deal anew by pairs of the next trie bits that the budget allows.
-        part = F.shiftrightunsigned(F.col("a"), 64 - depth - prefix_bits).bitwiseAND(F.lit((1 << prefix_bits) - 1))
-        partner = F.transform(F.array(*[F.lit(m) for m in _near_prefixes(prefix_bits, budget)]), lambda m: m.bitwiseXOR(F.col("own")))
-        rows = (
-            wide.select("held", F.col("a").alias("fp"), part.cast("int").alias("own"))
-            .select("held", "fp", "own", F.explode(partner).alias("other"))
-            .select(F.concat_ws(".", "held", F.least("own", "other"), F.greatest("own", "other")).alias("held"), "fp")
-        )
-        depth += prefix_bits
-
-
-def simhash_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, budget: int = 4, group_limit: int = 100_000) -> DataFrame:
+def simhash_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, budget: int = 4, group_limit: int = 32_000) -> DataFrame:
     """``key``, fingerprint (16 hex digits) and component_id (the smallest key reachable) of every row."""
     prints = cut(fingerprints(docs, text, key, width))
     first = cut(prints.groupBy("fp").agg(F.min(key).alias("first")))
-    links = hamming_links(first, budget, group_limit)
+    links = hamming_links(first.select("fp", F.col("fp").alias("id")), budget, BLOCKS, group_limit)
     reach = components(links).withColumnRenamed("node", "fp")
     # Only fingerprints that have links move; the rest name their own smallest key.
     moved = first.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
