@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, media, mixing, pitman_yor, simhash, substring, token_count, toxicity, url_filter
+from coppice.llm import decontaminate, line_dedup, media, mixing, pitman_yor, simhash, substring, token_count, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.model_scores(table(spark, sf_dir, "documents"), toxicity.crc_remainder("doc_id", 10) == 0)
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash": op3_simhash,
         "op4_media": op4_media,
         "op5_substring": op5_substring,
+        "op6_line_dedup": op6_line_dedup,
         "op7_pitman_yor": op7_pitman_yor,
         "op8_decontaminate": op8_decontaminate,
         "op9_url_filter": op9_url_filter,
