@@ -20,20 +20,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Self-loops, repeated edges and nulls add nothing. Raises if ``max_rounds`` do not suffice.
     """
     pairs = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).filter("v < u and v is not null").distinct()
-    before = None
     for _ in range(max_rounds):
         pairs = cut(_small_star(_large_star(pairs)))
-        # The state is a star forest exactly if no hub is itself hooked; a repeated digest ends rounds, too.
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
-        if now == before:
+        if _are_stars(pairs):
             break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     hubs = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(hubs)
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node is either a hub or hooked to exactly one."""
+    roles = pairs.select(F.col("u").alias("node"), F.lit(1).alias("hooked"), F.lit(0).alias("hub")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("hooked"), F.lit(1).alias("hub")))
+    return roles.groupBy("node").agg(F.sum("hooked").alias("hooked"), F.max("hub").alias("hub")).filter("hooked + hub > 1").isEmpty()
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -49,6 +49,13 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return labels, np.concatenate(taken)
 
 
+def _range_ends(lo: np.ndarray, hi: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest value of each range of rows (none empty, in order, disjoint)."""
+    cuts = np.stack((lo, hi), axis=1).ravel()
+    padded = np.append(values, values[-1:])
+    return np.minimum.reduceat(padded, cuts)[::2], np.maximum.reduceat(padded, cuts)[::2]
+
+
 def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labels and a spanning forest of the components within each group of distinct keys that lie within ``budget`` bits.
 
@@ -56,6 +63,9 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
     with themselves at once; at most about ``frontier`` node pairs are expanded at a time, the
     rest waits on a stack. A component's label is the index of its first row; the forest's
     links (two arrays of indices) are pairs within the budget.
+
+    A node is a number: inner nodes of a depth count from 0, a leaf is -2 minus its row, and
+    -1 is no node. A leaf stands for the rest of its path.
     """
     n = len(keys)
     labels = np.arange(n)
@@ -69,31 +79,34 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
 
     if n < 2:
         return labels, *forest[0]
-    new_group = np.ones(n, bool)
-    new_group[1:] = groups[1:] != groups[:-1]
-    differs = np.zeros(n, np.uint64)
-    differs[1:] = keys[1:] ^ keys[:-1]
-    # Nodes of each depth as runs of sorted rows, down to where every run is one row.
-    starts, children = [np.flatnonzero(new_group)], []
-    sizes = [np.diff(np.append(starts[0], n))]
-    while sizes[-1].max() > 1:
-        level = len(children)
-        fresh = new_group | (differs >> U64(63 - level) != 0)
-        first = np.flatnonzero(fresh)
-        parent = np.searchsorted(starts[-1], first, side="right") - 1
-        bit = (keys[first] >> U64(63 - level)) & U64(1)
-        pair = np.full((2, len(starts[-1])), -1, np.int32)
-        for side in (0, 1):
-            here = np.flatnonzero(bit == side)
-            pair[side, parent[here]] = here
+    lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    hi = np.append(lo[1:], n)
+    inner = hi - lo > 1
+    ranges, children = [(lo[inner], hi[inner])], []
+    if not inner.any():
+        return labels, *forest[0]
+    while len(ranges[-1][0]):
+        lo, hi = ranges[-1]
+        bit = U64(1) << U64(63 - len(children))
+        left, right = lo.copy(), hi.copy()  # binary search for the first row with the bit
+        while (open_ := np.flatnonzero(left < right)).size:
+            middle = (left[open_] + right[open_]) >> 1
+            one = (keys[middle] & bit) != 0
+            right[open_[one]] = middle[one]
+            left[open_[~one]] = middle[~one] + 1
+        pair = np.full((2, len(lo)), -1, np.int64)
+        bounds = np.stack((lo, left, left, hi), axis=1).reshape(-1, 2)  # both children of each node, in row order
+        size = bounds[:, 1] - bounds[:, 0]
+        flat = np.where(size == 1, -2 - bounds[:, 0], -1)
+        grown = np.flatnonzero(size > 1)
+        flat[grown] = np.arange(len(grown))
+        pair[0], pair[1] = flat[::2], flat[1::2]
         children.append(pair)
-        starts.append(first)
-        sizes.append(np.diff(np.append(first, n)))
-    big = sizes[0].max() > 64
+        ranges.append((bounds[grown, 0], bounds[grown, 1]))
+    big = (ranges[0][1] - ranges[0][0]).max() > 64
     for step in range(1, budget + 1) if big else (budget,):
-        low = [np.minimum.reduceat(labels, s) for s in starts]
-        high = [np.maximum.reduceat(labels, s) for s in starts]
-        roots = np.flatnonzero(sizes[0] > 1)
+        ends = [_range_ends(a, b, labels) for a, b in ranges[:-1]] if big else []
+        roots = np.arange(len(ranges[0][0]))
         stack = [(0, roots, roots, np.zeros(len(roots), np.int8))]
         links: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -103,9 +116,9 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
                 for i in range(0, len(x), frontier):
                     stack.append((level, x[i : i + frontier], y[i : i + frontier], spent[i : i + frontier]))
                 continue
-            single = (sizes[level][x] == 1) & (sizes[level][y] == 1)
+            single = (x < -1) & (y < -1)
             if single.any():  # the rest of both paths at once
-                p, q = starts[level][x[single]], starts[level][y[single]]
+                p, q = -2 - x[single], -2 - y[single]
                 near = (np.bitwise_count(keys[p] ^ keys[q]) <= step) & (p != q)
                 links.append((p[near], q[near]))
                 waiting += int(near.sum())
@@ -115,16 +128,31 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
                     links, waiting = [], 0
             if not len(x):
                 continue
-            pair, lo, hi = children[level], low[level + 1], high[level + 1]
+            shift = U64(63 - level)
+
+            def child(node: np.ndarray, side: int) -> np.ndarray:
+                leaf = node < -1
+                out = np.where(leaf, node, -1)
+                out[~leaf] = children[level][side][node[~leaf]]
+                own = (keys[-2 - node[leaf]] >> shift) & U64(1)
+                out[np.flatnonzero(leaf)[own != side]] = -1
+                return out
+
+            sides = [(child(x, 0), child(y, 0)), (child(x, 1), child(y, 1))]
             found = []
             for i, j in ((0, 0), (1, 1), (0, 1), (1, 0)):
-                u, v = pair[i][x], pair[j][y]
-                ok = (u >= 0) & (v >= 0)
+                u, v = sides[i][0], sides[j][1]
+                ok = (u != -1) & (v != -1)
                 if i != j:
                     ok &= (spent < step) & ((x != y) | (i < j))
                 u, v, s = u[ok], v[ok], spent[ok] + np.int8(i != j)
-                done = (lo[u] == hi[u]) & (lo[v] == hi[v]) & (lo[u] == lo[v])
-                found.append((u[~done], v[~done], s[~done]))
+                if big and len(ends) > level + 1:
+                    least, most = ends[level + 1]
+                    inside = (u >= 0) & (v >= 0)
+                    a, b = u[inside], v[inside]
+                    inside[inside] = (least[a] == most[a]) & (least[b] == most[b]) & (least[a] == least[b])
+                    u, v, s = u[~inside], v[~inside], s[~inside]
+                found.append((u, v, s))
             x, y, spent = (np.concatenate(c) for c in zip(*found))
             if len(x):
                 stack.append((level + 1, x, y, spent))
@@ -133,12 +161,39 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
     return labels, *(np.concatenate(c) for c in zip(*forest))
 
 
+def block_components(groups: np.ndarray, keys: np.ndarray, budget: int, largest: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``trie_components`` gives, by comparing all pairs of groups of at most ``largest`` rows."""
+    n = len(keys)
+    lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(lo, n))
+    left = np.repeat(lo + size, size) - np.arange(n)  # rows from here to the end of the group
+    small = np.repeat(size <= largest, size)
+    links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    at = np.flatnonzero(small & (left > 1))
+    for step in range(1, largest):
+        if not len(at):
+            break
+        near = at[np.bitwise_count(keys[at] ^ keys[at + step]) <= budget]
+        links.append((near, near + step))
+        at = at[left[at] > step + 1]
+    rest = np.flatnonzero(~small)
+    if len(rest):
+        _, a, b = trie_components(groups[rest], keys[rest], budget)
+        links.append((rest[a], rest[b]))
+    a, b = (np.concatenate(c) for c in zip(*links))
+    labels, taken = _settle(np.arange(n), a, b)
+    return labels, a[taken], b[taken]
+
+
 #: A link between two ids, or (with a key) a row of a group that has to be dealt anew.
 LINKS = "a long, b long, held long"
 
 
-def _forest(held: np.ndarray, fp: np.ndarray, ids: np.ndarray, budget: int, piece: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+def _forest(held: np.ndarray, fp: np.ndarray, ids: np.ndarray, budget: int, trie: bool = True, piece: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Links (first, second id) that connect what lies within the budget in each group."""
+    alone = np.append(True, held[1:] != held[:-1])
+    alone &= np.append(alone[1:], True)  # rows come sorted by key, most of them alone with theirs
+    held, fp, ids = held[~alone], fp[~alone], ids[~alone]
     order = np.lexsort((ids, fp, held))
     held, fp, ids = held[order], fp[order], ids[order]
     fresh = np.ones(len(fp), bool)
@@ -147,18 +202,19 @@ def _forest(held: np.ndarray, fp: np.ndarray, ids: np.ndarray, budget: int, piec
     groups = np.flatnonzero(np.append(True, held[head][1:] != held[head][:-1])) if len(head) else head
     same = np.flatnonzero(~fresh)  # further ids of one fingerprint, linked to its first
     firsts, seconds = [ids[head[np.cumsum(fresh) - 1]][same]], [ids[same]]
+    join = trie_components if trie else block_components
     at = 0
-    while at < len(head):  # tries of some ten thousand rows at once, groups kept whole
+    while at < len(head):  # some ten thousand rows at once, groups kept whole
         k = int(np.searchsorted(groups, at + piece))
         end = int(groups[k]) if k < len(groups) else len(head)
-        _, a, b = trie_components(held[head[at:end]], fp[head[at:end]], budget)
+        _, a, b = join(held[head[at:end]], fp[head[at:end]], budget)
         firsts.append(ids[head[at + a]])
         seconds.append(ids[head[at + b]])
         at = end
     return np.concatenate(firsts), np.concatenate(seconds)
 
 
-def _join_groups(limit: int, budget: int):
+def _join_groups(limit: int, budget: int, trie: bool):
     """Reads rows (held, fp, id) sorted by held; yields links, and the rows of groups over ``limit`` as they are."""
 
     def out(a: np.ndarray, b: np.ndarray, held: np.ndarray | None) -> pa.RecordBatch:
@@ -186,7 +242,7 @@ def _join_groups(limit: int, budget: int):
             ready, rest = ~through, ~through
             ready[last:] = False
             if ready.any():
-                yield out(*_forest(held[ready], fp[ready], ids[ready], budget), None)
+                yield out(*_forest(held[ready], fp[ready], ids[ready], budget, trie), None)
             rest[:last] = False
             pending, count = [(held[rest], fp[rest], ids[rest])], int(rest.sum())
         if count:
@@ -198,7 +254,7 @@ def _join_groups(limit: int, budget: int):
             if through.any():
                 yield out(fp[through], ids[through], held[through])
             if not through.all():
-                yield out(*_forest(held[~through], fp[~through], ids[~through], budget), None)
+                yield out(*_forest(held[~through], fp[~through], ids[~through], budget, trie), None)
 
     return join
 
@@ -224,10 +280,11 @@ def dealt(rows: DataFrame, widths: tuple[int, ...], budget: int) -> DataFrame:
     return rows.select(F.explode(keys).alias("held"), "fp", "id")
 
 
-def hamming_links(rows: DataFrame, budget: int, widths: tuple[int, ...], group_limit: int = 32_000, prefix_bits: int = 6) -> DataFrame:
+def hamming_links(rows: DataFrame, budget: int, widths: tuple[int, ...], group_limit: int = 32_000, prefix_bits: int = 6, trie: bool = True) -> DataFrame:
     """Links (a, b) between ids: a spanning forest of the pairs of fingerprints within the budget.
 
-    ``rows`` has fp and id, both long; ids with one fingerprint are linked, too.
+    ``rows`` has fp and id, both long; ids with one fingerprint are linked, too. Without
+    ``trie``, groups of up to some hundred rows are compared pair by pair.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -235,7 +292,7 @@ def hamming_links(rows: DataFrame, budget: int, widths: tuple[int, ...], group_l
     deal, found, depth = dealt(rows, widths, budget), None, 0
     near = [m for m in range(1 << prefix_bits) if bin(m).count("1") <= budget]
     while True:
-        joined = cut(deal.repartition(parts, "held").sortWithinPartitions("held").mapInArrow(_join_groups(group_limit, budget), LINKS))
+        joined = cut(deal.repartition(parts, "held").sortWithinPartitions("held").mapInArrow(_join_groups(group_limit, budget, trie), LINKS))
         links = joined.filter("held is null").select("a", "b")
         found = links if found is None else found.unionByName(links)
         wide = joined.filter("held is not null")
