@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "clone_doc_exact"
 
+#: Modules with QUERIES and ORACLES.
+MODULES = ("algebra", "clones", "vocabulary", "mining", "graphs")
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def clone_doc_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents with the same text up to white space."""
-    docs = table(spark, sf_dir, "documents")
-    plain = F.regexp_replace(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")), "^ | $", "")
-    keyed = docs.select("doc_id", F.sha2(plain, 256).alias("text_hash"))
-    return keyed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("representative")).filter("n >= 2")
+def _all(name: str) -> dict:
+    found: dict = {}
+    for module in MODULES:
+        found |= getattr(importlib.import_module(f"coppice.plans.{module}"), name)
+    return found
 
 
 def queries() -> dict[str, Query]:
-    return {"clone_doc_exact": clone_doc_exact}
+    return _all("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "clone_doc_exact": r"""
-            SELECT sha256(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS text_hash,
-                   count(*) AS n, min(doc_id) AS representative
-            FROM documents GROUP BY 1 HAVING count(*) >= 2""",
-    }
+    return _all("ORACLES")
