@@ -60,35 +60,48 @@ def greedy_communities(vertices: Iterable, edges: Iterable[tuple], exact_gain: b
         degree = {v: sum(row.values()) for v, row in near.items()}
         scale = 1.0 / (2 * total)
 
-        def gain(u, v, w):
-            inner, outer = w / total, degree[u] * scale * degree[v] * scale
-            return inner - 2 * outer if exact_gain else 2 * (inner - outer)
+        share = {v: x * scale for v, x in degree.items()}
+        loss = 2.0 if exact_gain else 1.0
+        factor = 1.0 if exact_gain else 2.0
 
         def best(u):
             """The best partner of u among the communities after it: sorts first by gain, then by key."""
-            return min(((-gain(u, v, w), u, v) for v, w in near[u].items() if u < v), default=None)
+            own, top = share[u] * loss, None
+            for v, w in near[u].items():
+                if u < v:
+                    g = own * share[v] - w / total
+                    if top is None or g < top[0] or g == top[0] and v < top[2]:
+                        top = (g, u, v)
+            return top
 
         choice = {u: best(u) for u in near}
         while True:
             top = min((c for c in choice.values() if c is not None), default=None)
-            if top is None or -top[0] <= 0:
+            if top is None or factor * -top[0] <= 0:
                 break
             _, i, j = top
             members[i] += members.pop(j)
-            degree[i] += degree.pop(j)
-            touched = {i} | set(near[i])
-            for k, w in near.pop(j).items():
-                if k == i:
-                    continue
-                touched.add(k)
-                near[i][k] = near[i].get(k, 0.0) + w
-                near[k].pop(j)
-                near[k][i] = near[i][k]
-            near[i].pop(j, None)
+            share[i] += share.pop(j)
+            row = near[i]
+            row.pop(j, None)
             choice.pop(j)
-            touched |= {k for k, c in choice.items() if c is not None and c[2] in (i, j)}
-            for k in touched - {j}:
-                choice[k] = best(k)
+            for k, w in near.pop(j).items():
+                if k != i:
+                    row[k] = row.get(k, 0.0) + w
+                    near[k].pop(j)
+            for k, w in row.items():
+                near[k][i] = w
+                if k < i:
+                    c = choice[k]
+                    if c is None or c[2] == i or c[2] == j:
+                        choice[k] = best(k)
+                    else:
+                        g = share[k] * loss * share[i] - w / total
+                        if g < c[0] or g == c[0] and i < c[2]:
+                            choice[k] = (g, k, i)
+                elif k < j and choice[k] is not None and choice[k][2] == j:
+                    choice[k] = best(k)
+            choice[i] = best(i)
     return sorted(sorted(m) for m in members.values())
 
 
