@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "clone_doc_exact"
 
 #: Modules with QUERIES and ORACLES.
-MODULES = ("algebra", "clones", "vocabulary", "mining", "graphs")
+MODULES = ("algebra", "clones", "vocabulary", "mining", "graphs", "rules")
 
 
 def _all(name: str) -> dict:
