@@ -161,30 +161,48 @@ def trie_components(groups: np.ndarray, keys: np.ndarray, budget: int, frontier:
     return labels, *(np.concatenate(c) for c in zip(*forest))
 
 
-def block_components(groups: np.ndarray, keys: np.ndarray, budget: int, largest: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``trie_components`` gives, by comparing all pairs of groups of at most ``largest`` rows."""
+def block_components(groups: np.ndarray, keys: np.ndarray, budget: int, largest: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``trie_components`` gives, by comparing all pairs of groups of at most ``largest`` rows.
+
+    Small groups are compared together, by the distance of two rows; larger ones each in
+    strips of a comparison table.
+    """
     n = len(keys)
     lo = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(lo, n))
     left = np.repeat(lo + size, size) - np.arange(n)  # rows from here to the end of the group
-    small = np.repeat(size <= largest, size)
     links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    at = np.flatnonzero(small & (left > 1))
-    for step in range(1, largest):
-        if not len(at):
-            break
+    at, step = np.flatnonzero(np.repeat(size <= 64, size) & (left > 1)), 1
+    while len(at):
         near = at[np.bitwise_count(keys[at] ^ keys[at + step]) <= budget]
         links.append((near, near + step))
-        at = at[left[at] > step + 1]
-    rest = np.flatnonzero(~small)
+        step += 1
+        at = at[left[at] > step]
+    for k in np.flatnonzero((size > 64) & (size <= largest)).tolist():
+        first, last = int(lo[k]), int(lo[k] + size[k])
+        for i in range(first, last, 256):
+            strip = np.bitwise_count(keys[i : min(i + 256, last), None] ^ keys[None, i:last]) <= budget
+            a, b = np.nonzero(strip)
+            ahead = a < b
+            links.append((i + a[ahead], i + b[ahead]))
+        if sum(len(a) for a, _ in links) > 1 << 20:
+            links = [_kept(n, links)]
+    rest = np.flatnonzero(np.repeat(size > largest, size))
     if len(rest):
         _, a, b = trie_components(groups[rest], keys[rest], budget)
         links.append((rest[a], rest[b]))
-    a, b = (np.concatenate(c) for c in zip(*links))
+    a, b = _kept(n, links)
     labels, taken = _settle(np.arange(n), a, b)
     return labels, a[taken], b[taken]
 
 
+def _kept(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links."""
+    a, b = (np.concatenate(c) for c in zip(*links))
+    _, taken = _settle(np.arange(n), a, b)
+    return a[taken], b[taken]
+
+
 #: A link between two ids, or (with a key) a row of a group that has to be dealt anew.
 LINKS = "a long, b long, held long"
 
