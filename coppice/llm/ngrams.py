@@ -12,8 +12,8 @@ from coppice.llm.bytescan import BLANK, LOWER, slices, text_buffers
 _FACTOR = np.uint32(0x9E3779B1)
 
 
-def gram_buckets(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row of each n-gram, its bucket below 2**bits) in pieces of whole rows.
+def gram_buckets(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Pieces of whole rows: the first row, and for each order the row (from there) and bucket below 2**bits of every n-gram.
 
     A-Z is lower-cased and each run of blanks counts as one space. An n-gram is a run of
     whole UTF-8 characters and never spans two rows; a shorter text has none.
@@ -43,7 +43,8 @@ def gram_buckets(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterat
                 byte[inside] = raw[spot[inside] + k]
                 follow[k - 1] = np.where((byte & 0xC0) == 0x80, byte, 0)
             code[wide] = code[wide] + follow[0] * np.uint32(257) + follow[1] * np.uint32(66049) + follow[2] * np.uint32(16974593)
-        rows = np.searchsorted(own, at, side="right") - 1
+        rows = (np.searchsorted(own, at, side="right") - 1).astype(np.int32)
+        found = []
         for n in orders:
             m = len(code) - n + 1
             if m <= 0:
@@ -54,5 +55,7 @@ def gram_buckets(column: pa.Array, orders: tuple[int, ...], bits: int) -> Iterat
                 h ^= code[k : k + m]
                 h ^= h >> np.uint32(15)
             h *= np.uint32(0x85EBCA6B)
+            h >>= np.uint32(32 - bits)
             inside = rows[:m] == rows[n - 1 :]
-            yield i, j, rows[:m][inside], (h >> np.uint32(32 - bits))[inside]
+            found.append((rows[:m][inside], h[inside]))
+        yield i, found

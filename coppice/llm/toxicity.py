@@ -36,19 +36,17 @@ def crc_remainder(key: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def presence(column: pa.Array, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, in order; with ``chosen``, of the marked buckets only."""
-    rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for order in ORDERS:
-        for i, _, r, b in gram_buckets(column, (order,), BITS):
+def presence(column: pa.Array, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (row, bucket) pairs in order, for pieces of whole rows; with ``chosen``, of the marked buckets only."""
+    for first, found in gram_buckets(column, ORDERS, BITS):
+        parts = []
+        for rows, buckets in found:
             if chosen is not None:
-                hit = chosen[b]
-                r, b = r[hit], b[hit]
-            both = np.unique((r.astype(np.int64) + i) << BITS | b)
-            rows.append(both >> BITS)
-            buckets.append(both & ((1 << BITS) - 1))
-    both = np.unique(np.concatenate(rows) << BITS | np.concatenate(buckets))
-    return both >> BITS, both & ((1 << BITS) - 1)
+                hit = chosen[buckets]
+                rows, buckets = rows[hit], buckets[hit]
+            parts.append(np.unique(rows.astype(np.int64) << BITS | buckets))
+        both = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        yield (both >> BITS) + first, both & ((1 << BITS) - 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
@@ -94,9 +92,9 @@ def fit(sample: DataFrame, features: int = 4096, parts: int = 8) -> tuple[np.nda
         totals = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             y = batch.column(0).to_numpy()
-            rows, buckets = presence(batch.column(1))
-            for c in (0, 1):
-                totals[c] += np.bincount(buckets[y[rows] == c], minlength=1 << BITS).astype(np.int32)
+            for rows, buckets in presence(batch.column(1)):
+                for c in (0, 1):
+                    totals[c] += np.bincount(buckets[y[rows] == c], minlength=1 << BITS).astype(np.int32)
         yield pa.record_batch([pa.array([totals.tobytes()], pa.binary())], names=["totals"])
 
     def choose(table: pa.Table) -> pa.Table:
@@ -116,10 +114,12 @@ def fit(sample: DataFrame, features: int = 4096, parts: int = 8) -> tuple[np.nda
         marked = np.zeros(1 << BITS, bool)
         marked[buckets] = True
         for batch in batches:
-            rows, found = presence(batch.column(2), marked)
-            at = np.searchsorted(buckets, found).astype(np.int32)
-            bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            blobs = [at[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            blobs = [b""] * batch.num_rows
+            for rows, found in presence(batch.column(2), marked):
+                at = np.searchsorted(buckets, found).astype(np.int32)
+                heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else rows
+                for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)]):
+                    blobs[rows[a]] = at[a:b].tobytes()
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["k", "y", "x"])
 
     def train(table: pa.Table) -> pa.Table:
@@ -147,8 +147,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: s
         table[buckets] = weights
         marked = table != 0
         for batch in batches:
-            rows, found = presence(batch.column(at), marked)
-            margin = np.bincount(rows, table[found], minlength=batch.num_rows) + intercept
+            margin = np.full(batch.num_rows, intercept)
+            for rows, found in presence(batch.column(at), marked):
+                margin += np.bincount(rows, table[found], minlength=batch.num_rows)
             values = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=batch.schema.names)
 
