@@ -17,7 +17,7 @@ of their digest, as many as the leaf's size asks for; running totals over the bu
 the one where the budget ends, and only that one is ordered row by row.
 
 Defined results: null levels are the text ``(null)``; a null or empty text has no tokens and
-is never past the budget; a missing, null or negative weight is ``default_weight``; an empty
+is never past the budget; a leaf without tokens is taken once; a missing, null or negative weight is ``default_weight``; an empty
 table gives an empty table.
 """
 
@@ -96,7 +96,7 @@ def mixed(
     sizes = cut(named.groupBy(*path).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     few = sizes.count() <= broadcast_leaves
     plan = leaf_budgets(sizes, weights, len(levels), budget, max_epochs)
-    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(F.lit(max_epochs)).cast("long"))
+    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.greatest(F.floor(F.col("budget") + 1e-6) - F.col("whole") * F.col("tokens"), F.lit(0)).cast("long"))
     digits = F.coalesce(*[F.when(F.col("rows") <= bucket_rows * 16**d, F.lit(d)) for d in BUCKET_DIGITS], F.lit(BUCKET_DIGITS[-1] + 1))
     plan = cut(plan.select(*path, F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), digits.alias("_digits")))
@@ -115,5 +115,6 @@ def mixed(
     # Without a row that fits, the edge's prefix sorts before its rows; without an edge all rows are taken.
     plan = plan.join(edge, path, "left").join(cutoff, path, "left").select(*path, "_whole", F.coalesce("_last", "_edge", F.lit("g")).alias("_cutoff"))
     plan = cut(plan)
-    out = _by_leaf(named, plan, path, few).withColumn("_times", (F.col("_whole") + (order <= F.col("_cutoff")).cast("long")).cast("int")).filter("_times > 0")
+    times = F.least(F.col("_whole") + (order <= F.col("_cutoff")).cast("long"), F.lit(max_epochs))
+    out = _by_leaf(named, plan, path, few).withColumn("_times", times.cast("int")).filter("_times > 0")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *path, "_tokens", "_times")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import decontaminate, line_dedup, media, mixing, pitman_yor, simhash, substring, token_count, toxicity, url_filter
+from coppice.llm import decontaminate, line_dedup, media, mixing, pitman_yor, simhash, sql, substring, token_count, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,4 +99,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express as a whole; the tests hold the others against brute force."""
+    return {"op1_mixing": sql.mixing(MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED), "op5_substring": sql.substring(20), "op8_decontaminate": sql.decontamination(10)}
