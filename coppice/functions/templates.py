@@ -64,11 +64,12 @@ def _operand(stream: list[Token], at: int) -> int:
 
 
 class Template:
-    """One pattern and its replacement."""
+    """One pattern and its replacement; ``where`` has regular expressions that captured texts must fit."""
 
-    def __init__(self, pattern: str, replacement: str) -> None:
+    def __init__(self, pattern: str, replacement: str, where: dict[str, str] | None = None) -> None:
         self.pattern = [t for t in tokens(pattern) if t.kind != "newline"]
         self.replacement = replacement
+        self.where = {name: re.compile(r, re.S) for name, r in (where or {}).items()}
         depth, self.inside = 0, []
         for t in self.pattern:
             depth -= t.text in _CLOSE
@@ -96,7 +97,7 @@ class Template:
                     return -1
                 at, p = at + len(same), p + 1
                 continue
-            bounded = self.inside[p] or p + 1 < len(self.pattern) and self.pattern[p + 1].text == ","
+            bounded = self.inside[p] or p + 1 < len(self.pattern) and self.pattern[p + 1].text in (",", "do")
             if not bounded:
                 end = _operand(stream, at)
                 if end < 0:
@@ -129,8 +130,11 @@ class Template:
             if end < 0:
                 at += 1
                 continue
-            text = re.sub(r"\$[a-z_]+", lambda m: source[stream[bound[m[0]][0]].start : stream[bound[m[0]][1] - 1].stop], self.replacement)
-            yield stream[at].start, stream[end - 1].stop, text
+            held = {name: source[stream[a].start : stream[b - 1].stop].strip() for name, (a, b) in bound.items()}
+            if any(not r.fullmatch(held[name]) for name, r in self.where.items()):
+                at += 1
+                continue
+            yield stream[at].start, stream[end - 1].stop, re.sub(r"\$[a-z_]+", lambda m: held[m[0]], self.replacement)
             at = end
 
 

@@ -552,3 +552,175 @@ def class_cluster_correction(r, o):
     swaps = M.outlier_swaps(M.set_clusters(sites), M.pair_weights(sites), o.get("min_support", 8), o.get("dominance", 20))
     rows = sites.join(swaps, sites["tokens"] == swaps["set"]).withColumn("path", F.col("file"))
     return findings(rows, "CssClassClusterCorrection", "class_outlier", evidence={"bad": F.col("bad"), "good": F.col("good"), "support": F.col("support")})
+
+
+# Lines of source.
+
+
+def _line_pattern(name: str, kind: str, pattern: str, priority: int = 100) -> None:
+    """A rule that reports lines by a pattern; its first group is the evidence."""
+
+    @detector(name, "lines", priority=priority)
+    def by_line(r, o):
+        rows = r["lines"].withColumn("found", F.regexp_extract("text", pattern, 1)).filter("found <> ''")
+        return findings(rows, name, kind, evidence={"text": F.col("found")})
+
+
+_line_pattern("LiftPinnedEctoExpr", "pinned_expression", r"\^(\((?:[^()]|\([^()]*\))*\)|\w+(?:\.\w+|\()[^\s,)\]]*)", 120)
+_line_pattern("LiftDirectives", "nested_directive", r"^(?: {4,}|\t{2,})((?:alias|import|require) [A-Z][\w.]*)", 220)
+_line_pattern("BooleanFunctionQuestionMark", "boolean_name", r"^\s*defp ((?:is|has|can|should)_\w+)\(", 250)
+_line_pattern("LiftWithIntoPipeline", "single_clause_with", r"^\s*(with (?:(?! <- ).)+ <- (?:(?! <- ).)+ do)\s*$", 150)
+
+
+@detector("AliasUsage", "lines", priority=220)
+def alias_usage(r, o):
+    """Module names of several parts that a file spells out more than once; two with one last part decline."""
+    found = F.regexp_extract_all("text", F.lit(r"\b([A-Z]\w*(?:\.[A-Z]\w*)+)"), F.lit(1))
+    uses = r["lines"].filter(~F.col("text").rlike(r"^\s*(alias|import|require|use|defmodule) ")).select("path", "line", F.explode(found).alias("name"))
+    rows = uses.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line")).withColumn("last", F.substring_index("name", ".", -1))
+    rows = rows.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("path", "last")))
+    return findings(rows.filter(F.col("n") >= o.get("least", 2)), "AliasUsage", "alias", first_decline([(F.col("same") > 1, "last_part_clashes")]), {"name": F.col("name"), "n": F.col("n")})
+
+
+# Names: ``names`` has path, line, kind, short and candidates array<struct<name:string,strong:boolean>>.
+
+
+def _expansion(rule: str, kind: str) -> None:
+    @detector(rule, "names", priority=250)
+    def expand(r, o):
+        from coppice.functions.naming import resolve
+
+        ship(r["names"].sparkSession)
+
+        @F.pandas_udf("string")
+        def best(short: pd.Series, candidates: pd.Series) -> pd.Series:
+            return pd.Series([resolve(s, [(c["name"], c["strong"]) for c in cs], o.get("min_score", 80)) for s, cs in zip(short, candidates)], dtype=object)
+
+        rows = r["names"].filter(F.col("kind") == kind).withColumn("long", best("short", "candidates"))
+        return findings(rows, rule, "short_name", first_decline([(F.col("long").isNull(), "no_clear_expansion")]), {"short": F.col("short"), "long": F.col("long")})
+
+
+for _rule, _kind in (("ExpandShortFormBindings", "binding"), ("ExpandShortFormFunctions", "function"), ("ExpandShortFormParams", "param")):
+    _expansion(_rule, _kind)
+
+
+# More of statements and branches.
+
+
+@detector("ExtractCaseToHelper", "segments")
+def extract_case_to_helper(r, o):
+    last = F.max("idx").over(Window.partitionBy("path", "block"))
+    rows = r["segments"].withColumn("last", last).filter((F.col("idx") == F.col("last")) & (F.col("callee") == "case") & (F.col("idx") > 0))
+    return findings(rows, "ExtractCaseToHelper", "tail_case")
+
+
+@detector("ExtractCommonProlog", "segments")
+def extract_common_prolog(r, o):
+    """Blocks that begin with the same statements."""
+    n = o.get("statements", 2)
+    starts = r["segments"].filter(F.col("idx") < n).groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("h"), F.min("line").alias("line")).filter(F.size("h") == n)
+    rows = starts.groupBy(F.transform("h", lambda x: x["hash"]).alias("prolog")).agg(F.count(F.lit(1)).alias("blocks"), F.min("path").alias("path"), F.min("line").alias("line")).filter("blocks > 1")
+    return findings(rows, "ExtractCommonProlog", "common_prolog", evidence={"blocks": F.col("blocks"), "statements": F.lit(n)})
+
+
+@detector("ExtractFunctionFromBlock", "segments")
+def extract_function_from_block(r, o):
+    """The leading bindings of a block, its parameters and what lives on."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = _frame(pdf)
+        k = next((i for i, s in enumerate(block) if not s.writes), len(block))
+        live, free = S.live_out(block, k), set().union(*(s.reads for s in block[:k])) - set().union(*(s.writes for s in block[:k])) if k else set()
+        return pd.DataFrame([(pdf.path.iloc[0], int(pdf.line.min()), k, len(live), ",".join(sorted(free)))], columns=["path", "line", "n", "live", "params"])
+
+    rows = _per_block(r["segments"].select("path", "block", "idx", "line", "reads", "writes", "hash", "mass"), run, "path string, line int, n int, live int, params string")
+    gates = [(F.col("n") < o.get("statements", 3), "too_short"), (F.col("live") > o.get("live", 3), "too_much_lives_on"), (F.col("live") == 0, "nothing_lives_on")]
+    return findings(rows.filter("n > 0"), "ExtractFunctionFromBlock", "leading_bindings", first_decline(gates), {"statements": F.col("n"), "params": F.col("params")})
+
+
+@detector("LiftLocalLambda", "segments")
+def lift_local_lambda(r, o):
+    rows = r["segments"].filter((F.col("callee") == "fn") & (F.size("writes") == 1))
+    return findings(rows, "LiftLocalLambda", "local_lambda", evidence={"name": F.get("writes", F.lit(0)), "params": F.array_join(F.array_sort("reads"), ",")})
+
+
+@detector("MergeSequentialReduces", "segments", priority=150)
+def merge_sequential_reduces(r, o):
+    """Neighbouring reductions of one collection."""
+    w = _ordered(r)
+    kinds = ("Enum.reduce", "reduce", "Enum.sum", "Enum.count")
+    same = F.col("callee").isin(*kinds) & F.lag("callee").over(w).isin(*kinds) & (F.get("reads", F.lit(0)) == F.get(F.lag("reads").over(w), F.lit(0)))
+    return findings(_islands(r, same, 2), "MergeSequentialReduces", "reductions", evidence={"length": F.col("length")})
+
+
+@detector("HoistInvariantOutOfComprehension", "segments")
+def hoist_invariant(r, o):
+    """Pure statements inside a loop that read nothing the loop binds."""
+    inner = r["segments"].filter("depth > 1 and pure and size(writes) = 1")
+    bound = r["segments"].filter("depth > 1").select("path", "block", F.explode("writes").alias("name")).distinct()
+    reads = inner.select("path", "block", "idx", F.explode("reads").alias("name")).join(bound, ["path", "block", "name"], "left_semi").select("path", "block", "idx").distinct()
+    return findings(inner.join(reads, ["path", "block", "idx"], "left_anti"), "HoistInvariantOutOfComprehension", "loop_invariant", evidence={"name": F.get("writes", F.lit(0))})
+
+
+@detector("FlattenDeepPipeBranch", "branches")
+def flatten_deep_pipe_branch(r, o):
+    """Conditionals whose branches share a beginning and an end."""
+    heads = _shared_ends(r["branches"], False).select("path", "site", F.col("shared").alias("before"))
+    both = _shared_ends(r["branches"], True).join(heads, ["path", "site"])
+    return findings(both, "FlattenDeepPipeBranch", "shared_pipe", evidence={"before": F.col("before"), "after": F.col("shared")})
+
+
+# Types by use: ``uses`` has path, line, function, param, fields array; ``structs`` has struct, fields array.
+
+
+@detector("LiftUntypedParamToStructPattern", "uses", "structs")
+def lift_untyped_param(r, o):
+    """Parameters whose fields lie in exactly one struct: fields meet by equality and are counted."""
+    uses = r["uses"].withColumn("fields", F.array_distinct("fields")).withColumn("need", F.size("fields"))
+    key = ["path", "line", "function", "param", "need"]
+    fields = uses.select(*key, F.explode("fields").alias("field"))
+    known = r["structs"].select("struct", F.explode(F.array_distinct("fields")).alias("field"))
+    fits = fields.join(known, "field").groupBy(*key, "struct").agg(F.count(F.lit(1)).alias("have")).filter("have = need").groupBy(*key).agg(F.count(F.lit(1)).alias("structs"), F.min("struct").alias("struct"))
+    rows = uses.select(*key).distinct().join(fits, key, "left").withColumn("structs", F.coalesce("structs", F.lit(0)))
+    gates = [(F.col("need") < o.get("min_fields", 2), "too_few_fields"), (F.col("structs") == 0, "no_struct"), (F.col("structs") > 1, "ambiguous")]
+    return findings(rows, "LiftUntypedParamToStructPattern", "struct_param", first_decline(gates), {"param": F.col("param"), "struct": F.col("struct")}, function="function")
+
+
+# Markup fragments: ``fragments`` as ``clones.fragments`` gives them, ``near`` as ``clones.near_clusters`` does.
+
+
+@detector("ExtractHeexExactClone", "fragments")
+def exact_clone(r, o):
+    from coppice.operators import clones as C
+
+    found = C.without_subsets(C.exact_clusters(r["fragments"].filter((F.col("mode") == "exact") & (F.col("mass") >= o.get("min_mass", 8)))))
+    rows = found.select(F.col("representative.file").cast("string").alias("path"), F.col("representative.line").alias("line"), "mass", "occurrences")
+    return findings(rows, "ExtractHeexExactClone", "exact_clone", evidence={"mass": F.col("mass"), "n": F.col("occurrences")})
+
+
+@detector("ProposeSharedHeexComponent", "fragments", priority=10, enabled=False)
+def shared_component(r, o):
+    from coppice.operators import clones as C
+
+    found = C.without_subsets(C.motifs(r["fragments"].filter((F.col("mode") == "motif") & (F.col("mass") >= o.get("min_mass", 8))), o.get("occurrences", 3), o.get("files", 2)))
+    return findings(found, "ProposeSharedHeexComponent", "shared_motif", evidence={"mass": F.col("mass"), "n": F.col("occurrences"), "files": F.col("files")})
+
+
+@detector("ExtractToPublicComponent", "fragments", priority=10, enabled=False)
+def public_component(r, o):
+    rows = r["fragments"].filter(F.col("mode") == "exact").withColumn("path", F.col("file").cast("string"))
+    rows = rows.withColumn("lines", F.col("end_line") - F.col("line") + 1) if "end_line" in rows.columns else rows.withColumn("lines", F.lit(None).cast("int"))
+    gates = [(F.col("motif") == "unknown", "no_motif"), (F.col("mass") < o.get("nodes", 6), "too_small"), (F.col("lines") < o.get("lines", 12), "too_short")]
+    return findings(rows.filter("kind = 'element'"), "ExtractToPublicComponent", "public_component", first_decline(gates), {"motif": F.col("motif"), "mass": F.col("mass")})
+
+
+def _near(rule: str, kind: str, mass: int) -> None:
+    @detector(rule, "near", enabled=False)
+    def merge(r, o):
+        rows = r["near"].filter("members > 1").withColumn("path", F.col("file").cast("string"))
+        gates = [(F.col("mass") < o.get("min_mass", mass), "too_small"), (~F.col("mergeable"), "structural_difference")]
+        return findings(rows, rule, kind, first_decline(gates), {"mass": F.col("mass"), "n": F.col("occurrences")})
+
+
+_near("MergeNearCloneComponents", "near_component", 12)
+_near("MergeNearCloneFunctions", "near_function", 40)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from coppice.functions.templates import Template, edits
+from coppice.functions.templates import Template, edits, tokens
 from coppice.plans.engine import Rule, register
 from coppice.sources.markup import Node, parse, walk
 
@@ -44,9 +44,30 @@ TEMPLATES: dict[str, tuple[int, list[tuple[str, str]]]] = {
     "TryRescueWithSafeAlternative": (120, [("try do Map.fetch!($m, $k) rescue KeyError -> $d end", "Map.get($m, $k, $d)"), ("try do Keyword.fetch!($m, $k) rescue KeyError -> $d end", "Keyword.get($m, $k, $d)")]),
     "EnumFindToKeyfind": (130, [("Enum.find($a, fn {$k, _} -> $k == $v end)", "List.keyfind($a, $v, 0)")]),
 }
-OFF_BY_DEFAULT = {"RangeLiteralToRangeNew": (150, [("$a..$b", "Range.new($a, $b)")]), "MapNewToPipe": (130, [("Map.new($a)", "$a |> Map.new()")])}
+#: What may stand in a guard, and one statement on one line.
+GUARD = r"(?:is_\w+\(\w+\)|\w+ (?:==|!=|>|<|>=|<=) [\w:.\"]+)(?: (?:and|or) (?:is_\w+\(\w+\)|\w+ (?:==|!=|>|<|>=|<=) [\w:.\"]+))*"
+ONE_LINE = r"(?!(?:case|cond|if|with|fn|for|try)\b)[^\n;]+"
 
-for _table, _on in ((TEMPLATES, True), (OFF_BY_DEFAULT, False)):
+CONDITIONALS: dict[str, tuple[int, list[tuple]]] = {
+    "CaseTrueFalse": (120, [("case $c do true -> $a false -> $b end", "if $c, do: $a, else: $b", {"$a": ONE_LINE, "$b": ONE_LINE}), ("case $c do false -> $b true -> $a end", "if $c, do: $a, else: $b", {"$a": ONE_LINE, "$b": ONE_LINE})]),
+    "IdentityPassthrough": (120, [("case $x do $p -> $p end", "$x", {"$p": r"[a-z]\w*"}), ("case $x do {:ok, $v} -> {:ok, $v} {:error, $e} -> {:error, $e} end", "$x")]),
+    "CollapseNestedCaseToWith": (120, [("case $a do {:ok, $x} -> case $b do {:ok, $y} -> $c {:error, $e} -> {:error, $e} end {:error, $f} -> {:error, $f} end", "with {:ok, $x} <- $a, {:ok, $y} <- $b do\n  $c\nend")]),
+    "CollapseRichCaseToWithElse": (119, [("case $a do {:ok, $x} -> case $b do {:ok, $y} -> $c {:error, $e} -> $h end {:error, $e} -> $h end", "with {:ok, $x} <- $a, {:ok, $y} <- $b do\n  $c\nelse\n  {:error, $e} -> $h\nend")]),
+    "RemoveTrivialElseClause": (121, [("with $h do $b else $e -> $e end", "with $h do\n  $b\nend", {"$e": r"[a-z]\w*"}), ("with $h do $b else {:error, $e} -> {:error, $e} end", "with $h do\n  $b\nend", {"$e": r"[a-z]\w*"})]),
+    "WithWithoutElse": (122, [("with $g, $h do $b else $e -> $e end", "with $g, $h do\n  $b\nend", {"$e": r"[a-z]\w*"})]),
+    "WithSingleClauseToCase": (115, [("with $p <- $e do $b else $q -> $c end", "case $e do\n  $p -> $b\n  $q -> $c\nend", {"$b": ONE_LINE, "$c": ONE_LINE})]),
+    "IfElseToCond": (80, [("if $a do $x else if $b do $y else $z end end", "cond do\n  $a -> $x\n  $b -> $y\n  true -> $z\nend", {"$x": ONE_LINE, "$y": ONE_LINE, "$z": ONE_LINE})]),
+    "ExtractCondIfGuardClauses": (60, [("def $h do if $g, do: $x, else: $y end", "def $h when $g, do: $x\ndef $h, do: $y", {"$g": GUARD, "$h": r"\w+\(.*\)"})]),
+    "ExtractCondToGuardClauses": (60, [("def $h do cond do $g -> $x true -> $y end end", "def $h when $g, do: $x\ndef $h, do: $y", {"$g": GUARD, "$h": r"\w+\(.*\)", "$x": ONE_LINE, "$y": ONE_LINE})]),
+    "IfLiftToClauses": (60, [("def $h do if $g do $x else $y end end", "def $h when $g, do: $x\ndef $h, do: $y", {"$g": GUARD, "$h": r"\w+\(.*\)", "$x": ONE_LINE, "$y": ONE_LINE})]),
+    "LengthInGuard": (121, [("when length($x) == 0", "when $x == []"), ("when length($x) > 0", "when $x != []")]),
+    "InlineSingleExpressionDef": (50, [("def $h do $e end", "def $h, do: $e", {"$h": r"\w+(?:\(.*\))?", "$e": ONE_LINE}), ("defp $h do $e end", "defp $h, do: $e", {"$h": r"\w+(?:\(.*\))?", "$e": ONE_LINE})]),
+    "LambdaDestructureToHead": (150, [("fn $x -> $p = $x; $b end", "fn $p -> $b end", {"$p": r"[{\[%].*"})]),
+    "MergePipelineIntoComprehension": (100, [("$a |> Enum.filter(fn $x -> $p end) |> Enum.map(fn $x -> $f end)", "for $x <- $a, $p, do: $f", {"$x": r"[a-z]\w*"}), ("$a |> Enum.reject(fn $x -> $p end) |> Enum.map(fn $x -> $f end)", "for $x <- $a, not ($p), do: $f", {"$x": r"[a-z]\w*"})]),
+}
+OFF_BY_DEFAULT = {"RangeLiteralToRangeNew": (150, [("$a..$b", "Range.new($a, $b)")]), "MapNewToPipe": (130, [("Map.new($a)", "$a |> Map.new()")]), "MapNewLambdaToForComprehension": (170, [("Map.new($a, fn $x -> {$k, $v} end)", "for($x <- $a, do: {$k, $v}) |> Map.new()")]), "ExtractToPipeline": (180, [("Enum.map($a, $f)", "$a |> Enum.map($f)"), ("Enum.filter($a, $f)", "$a |> Enum.filter($f)"), ("Enum.reject($a, $f)", "$a |> Enum.reject($f)"), ("Stream.map($a, $f)", "$a |> Stream.map($f)")])}
+
+for _table, _on in ((TEMPLATES, True), (CONDITIONALS, True), (OFF_BY_DEFAULT, False)):
     for _name, (_priority, _pairs) in _table.items():
         register(Rule(_name, patches=lambda text, _, t=[Template(*p) for p in _pairs]: edits(text, t), priority=_priority, enabled=_on))
 
@@ -132,7 +153,103 @@ def collapse_nesting(text: str, _: dict) -> list[tuple[int, int, str]]:
     return out
 
 
+def cond_to_case(text: str, _: dict) -> str:
+    """A cond whose arms all compare one variable with a value becomes a case on it."""
+
+    def turn(m: re.Match) -> str:
+        arms = [re.fullmatch(r"(\s*)(?:(\w+) == ([^\n]+?)|true) ->([^\n]*)", line) for line in m[2].rstrip("\n").split("\n")]
+        if not all(arms) or len({a[2] for a in arms if a[2]}) != 1 or any(a[2] is None for a in arms[:-1]) or len(arms) < 2:
+            return m[0]
+        name = arms[0][2]
+        return f"{m[1]}case {name} do\n" + "".join(f"{a[1]}{a[3] if a[2] else '_'} ->{a[4]}\n" for a in arms) + f"{m[1]}end"
+
+    return re.sub(r"^([ \t]*)cond do\n((?:(?!\s*end\b)[^\n]*\n)+)\1end", turn, text, flags=re.M)
+
+
+def map_put_chain(text: str, _: dict) -> str:
+    """An empty map that the next lines fill key by key becomes a literal."""
+
+    def turn(m: re.Match) -> str:
+        puts = re.findall(rf"^[ \t]*{m[2]} = Map\.put\({m[2]}, ([^,\n]+), ([^\n]+)\)$", m[3], flags=re.M)
+        if any(re.search(rf"\b{m[2]}\b", v) for _, v in puts):
+            return m[0]
+        return f"{m[1]}{m[2]} = %{{{', '.join(f'{k} => {v}' for k, v in puts)}}}\n"
+
+    return re.sub(r"^([ \t]*)(\w+) = %\{\}\n((?:[ \t]*\2 = Map\.put\(\2, [^\n]+\)\n)+)", turn, text, flags=re.M)
+
+
+def clause_lookup(text: str, options: dict) -> str:
+    """Three or more clauses from a literal to a constant become a map; the first of a literal wins."""
+    least = options.get("least", 3)
+
+    def turn(m: re.Match) -> str:
+        arms = re.findall(r"def(p?) (\w+)\((\"[^\"\n]*\"|:\w+|-?\d+)\), do: (\"[^\"\n]*\"|:\w+|-?\d+)\n", m[0])
+        if len(arms) < least:
+            return m[0]
+        table = {k: v for _, _, k, v in reversed(arms)}
+        pairs = ", ".join(f"{k} => {table[k]}" for k in dict.fromkeys(k for _, _, k, _ in arms))
+        private, name = arms[0][0], arms[0][1]
+        return f"{m[1]}@{name}_lookup %{{{pairs}}}\n{m[1]}def{private} {name}(key), do: Map.fetch!(@{name}_lookup, key)\n"
+
+    literal = r"(?:\"[^\"\n]*\"|:\w+|-?\d+)"
+    return re.sub(rf"^([ \t]*)(defp? \w+)\({literal}\), do: {literal}\n(?:\1\2\({literal}\), do: {literal}\n)+(?!\1\2\()", turn, text, flags=re.M)
+
+
+def case_to_clauses(text: str, _: dict) -> str:
+    """A function that is one case on its only parameter becomes a clause for each arm."""
+
+    def turn(m: re.Match) -> str:
+        arms = [re.fullmatch(r"\s*([^\n]+?) -> ([^\n]+)", line) for line in m[5].rstrip("\n").split("\n")]
+        if not all(arms) or any(re.search(rf"\b{m[4]}\b", a[2]) or " when " in a[1] for a in arms):
+            return m[0]
+        return "\n".join(f"{m[1]}{m[2]} {m[3]}({a[1]}), do: {a[2]}" for a in arms)
+
+    return re.sub(r"^([ \t]*)(defp?) (\w+[?!]?)\((\w+)\) do\n\s*case \4 do\n((?:(?!\s*end\b)[^\n]*\n)+)\s*end\n\1end", turn, text, flags=re.M)
+
+
+def enum_capture(text: str, _: dict) -> list[tuple[int, int, str]]:
+    """A lambda that only calls a function with its argument becomes a capture."""
+    stream = [t for t in tokens(text) if t.kind != "newline"]
+    out = []
+    for k, t in enumerate(stream):
+        if t.text != "fn" or k + 3 >= len(stream) or stream[k + 2].text != "->":
+            continue
+        j = k + 3
+        while j + 1 < len(stream) and stream[j + 1].text == ".":
+            j += 2
+        call = [x.text for x in stream[j + 1 : j + 5]]
+        if call == ["(", stream[k + 1].text, ")", "end"] and stream[j].kind == "word":
+            out.append((t.start, stream[j + 4].stop, f"&{text[stream[k + 3].start : stream[j].stop]}/1"))
+    return out
+
+
+def socket_to_pipe(text: str, _: dict) -> list[tuple[int, int, str]]:
+    """A local call whose first argument is the socket takes it from a pipe."""
+    stream = [t for t in tokens(text) if t.kind != "newline"]
+    out: list[tuple[int, int, str]] = []
+    for k in range(len(stream) - 3):
+        name, bracket, first, after = stream[k : k + 4]
+        before = stream[k - 1].text if k else ""
+        if name.kind == "word" and bracket.text == "(" and bracket.start == name.stop and first.text == "socket" and after.text in (",", ")") and before not in ("def", "defp", ".", "|>", "&") and all(name.start >= o[1] for o in out):
+            depth, j = 0, k + 1
+            while j < len(stream):
+                depth += (stream[j].text in "([{") - (stream[j].text in ")]}")
+                if not depth:
+                    break
+                j += 1
+            if j < len(stream):
+                rest = text[after.stop : stream[j].start].strip() if after.text == "," else ""
+                out.append((name.start, stream[j].stop, f"socket |> {name.text}({rest})"))
+    return out
+
+
 for _rule in (
+    Rule("CondToCase", rewrite=cond_to_case),
+    Rule("MapPutChainToLiteral", rewrite=map_put_chain, priority=150),
+    Rule("ClauseLookupToMap", rewrite=clause_lookup),
+    Rule("CaseToFunctionClauses", rewrite=case_to_clauses),
+    Rule("EnumCapture", patches=enum_capture, priority=150),
+    Rule("ExtractSocketToPipe", patches=socket_to_pipe, priority=200),
     Rule("AliasOrder", rewrite=alias_order),
     Rule("MultiAliasExpand", rewrite=multi_alias_expand, priority=220),
     Rule("ImportAfterAlias", rewrite=import_after_alias),

@@ -38,6 +38,29 @@ CASES = [
     ("DebugInspectCleanup", "x |> IO.inspect()", "x |> dbg()"),
     ("ManualTapToTap", "v |> then(fn x -> log(x); x end)", "v |> tap(fn x -> log(x) end)"),
     ("EnumFindToKeyfind", "Enum.find(xs, fn {k, _} -> k == key end)", "List.keyfind(xs, key, 0)"),
+    ("CaseTrueFalse", "case ok?(x) do\n  true -> 1\n  false -> 2\nend", "if ok?(x), do: 1, else: 2"),
+    ("IdentityPassthrough", "case f(x) do\n  {:ok, v} -> {:ok, v}\n  {:error, e} -> {:error, e}\nend", "f(x)"),
+    ("CollapseNestedCaseToWith", "case a(x) do\n  {:ok, y} ->\n    case b(y) do\n      {:ok, z} -> z + 1\n      {:error, e} -> {:error, e}\n    end\n  {:error, r} -> {:error, r}\nend", "with {:ok, y} <- a(x), {:ok, z} <- b(y) do\n  z + 1\nend"),
+    ("CollapseRichCaseToWithElse", "case a(x) do\n  {:ok, y} ->\n    case b(y) do\n      {:ok, z} -> z\n      {:error, e} -> log(e)\n    end\n  {:error, e} -> log(e)\nend", "with {:ok, y} <- a(x), {:ok, z} <- b(y) do\n  z\nelse\n  {:error, e} -> log(e)\nend"),
+    ("RemoveTrivialElseClause", "with {:ok, y} <- f(x) do\n  y\nelse\n  other -> other\nend", "with {:ok, y} <- f(x) do\n  y\nend"),
+    ("WithWithoutElse", "with {:ok, y} <- f(x), {:ok, z} <- g(y) do\n  z\nelse\n  e -> e\nend", "with {:ok, y} <- f(x), {:ok, z} <- g(y) do\n  z\nend"),
+    ("WithSingleClauseToCase", "with {:ok, y} <- f(x) do\n  y\nelse\n  :none -> 0\nend", "case f(x) do\n  {:ok, y} -> y\n  :none -> 0\nend"),
+    ("IfElseToCond", "if a > 1 do\n  1\nelse\n  if b do\n    2\n  else\n    3\n  end\nend", "cond do\n  a > 1 -> 1\n  b -> 2\n  true -> 3\nend"),
+    ("ExtractCondIfGuardClauses", "def f(x) do\n  if x > 0, do: 1, else: 2\nend", "def f(x) when x > 0, do: 1\ndef f(x), do: 2"),
+    ("ExtractCondToGuardClauses", "def f(x) do\n  cond do\n    is_nil(x) -> 0\n    true -> x\n  end\nend", "def f(x) when is_nil(x), do: 0\ndef f(x), do: x"),
+    ("IfLiftToClauses", "def f(x) do\n  if x == 1 do\n    :one\n  else\n    :more\n  end\nend", "def f(x) when x == 1, do: :one\ndef f(x), do: :more"),
+    ("LengthInGuard", "def f(xs) when length(xs) == 0, do: 1", "def f(xs) when xs == [], do: 1"),
+    ("InlineSingleExpressionDef", "def f(x) do\n  x + 1\nend", "def f(x), do: x + 1"),
+    ("LambdaDestructureToHead", "Enum.map(xs, fn t -> {a, b} = t; a + b end)", "Enum.map(xs, fn {a, b} -> a + b end)"),
+    ("MergePipelineIntoComprehension", "xs |> Enum.filter(fn x -> x > 1 end) |> Enum.map(fn x -> x * 2 end)", "for x <- xs, x > 1, do: x * 2"),
+    ("MapNewLambdaToForComprehension", "Map.new(xs, fn x -> {x.id, x} end)", "for(x <- xs, do: {x.id, x}) |> Map.new()"),
+    ("ExtractToPipeline", "Enum.map(xs, f)", "xs |> Enum.map(f)"),
+    ("CondToCase", "cond do\n  x == 1 -> :a\n  x == 2 -> :b\n  true -> :c\nend", "case x do\n  1 -> :a\n  2 -> :b\n  _ -> :c\nend"),
+    ("MapPutChainToLiteral", "m = %{}\nm = Map.put(m, :a, 1)\nm = Map.put(m, :b, f(2))\nm\n", "m = %{:a => 1, :b => f(2)}\nm\n"),
+    ("ClauseLookupToMap", 'def n("a"), do: 1\ndef n("b"), do: 2\ndef n("c"), do: 3\n', '@n_lookup %{"a" => 1, "b" => 2, "c" => 3}\ndef n(key), do: Map.fetch!(@n_lookup, key)\n'),
+    ("CaseToFunctionClauses", "def f(x) do\n  case x do\n    :a -> 1\n    _ -> 2\n  end\nend", "def f(:a), do: 1\ndef f(_), do: 2"),
+    ("EnumCapture", "Enum.map(xs, fn x -> My.Mod.f(x) end)", "Enum.map(xs, &My.Mod.f/1)"),
+    ("ExtractSocketToPipe", "assign(socket, :a, g(1, 2))", "socket |> assign(:a, g(1, 2))"),
     ("AliasOrder", "alias B\nalias A.C\n\nfoo", "alias A.C\nalias B\n\nfoo"),
     ("MultiAliasExpand", "  alias Foo.{A, B}", "  alias Foo.A\n  alias Foo.B"),
     ("ImportAfterAlias", "import X\nalias A", "alias A\nimport X"),
@@ -167,6 +190,44 @@ def test_statement_detectors(code):
     assert [v[3]["sorted"] for v in verdicts(code, "SortKeywords")] == ["a,b"]
 
 
+def test_line_and_name_detectors(spark):
+    lines = spark.createDataFrame([("a", 1, "  where: x.id == ^user.id"), ("a", 2, "      alias Foo.Bar"), ("a", 3, "  defp is_ok(x), do: x"), ("a", 4, "  with {:ok, y} <- f(x) do"), ("a", 5, "A.B.c(A.B.d())"), ("a", 6, "X.B.c(X.B.d(Q.R.e(Q.R.f())))"), ("a", 7, "plain")], "path string, line int, text string")
+    kinds = {r.rule: r.evidence["text"] for r in engine.detected({"lines": lines}, [r for r in engine.rules() if r.needs == ("lines",) and r.name != "AliasUsage"]).collect()}
+    assert kinds == {"LiftPinnedEctoExpr": "user.id", "LiftDirectives": "alias Foo.Bar", "BooleanFunctionQuestionMark": "is_ok", "LiftWithIntoPipeline": "with {:ok, y} <- f(x) do"}
+    assert {(v[0], v[3]["name"]) for v in verdicts({"lines": lines}, "AliasUsage")} == {("last_part_clashes", "A.B"), ("last_part_clashes", "X.B"), ("ok", "Q.R")}
+    names = spark.createDataFrame([("a", 1, "binding", "bc", [("build_changeset", True)]), ("a", 2, "binding", "bc", [("build_changeset", True), ("big_cat", True)]), ("a", 3, "param", "x", [])], "path string, line int, kind string, short string, candidates array<struct<name:string,strong:boolean>>")
+    assert [(v[0], v[3]["long"]) for v in verdicts({"names": names}, "ExpandShortFormBindings")] == [("no_clear_expansion", None), ("ok", "build_changeset")]
+
+
+def test_more_statement_detectors(code, spark):
+    assert [v[3]["before"] for v in verdicts(code, "FlattenDeepPipeBranch")] == ["2"]
+    assert {v[3]["name"] for v in verdicts(code, "HoistInvariantOutOfComprehension")} == {"z"}
+    assert verdicts(code, "ExtractCommonProlog") == [] and verdicts(code, "ExtractCaseToHelper") == []
+    assert ("ok", "x") in {(v[0], v[3]["params"]) for v in verdicts(code, "ExtractFunctionFromBlock")}
+    uses = spark.createDataFrame([("a", 1, "f", "p", ["name", "email"]), ("a", 2, "g", "p", ["name"]), ("a", 3, "h", "p", ["name", "zip"]), ("a", 4, "k", "p", ["x", "y"])], "path string, line int, function string, param string, fields array<string>")
+    structs = spark.createDataFrame([("User", ["name", "email", "id"]), ("A", ["x", "y"]), ("B", ["x", "y", "z"])], "struct string, fields array<string>")
+    assert {(v[2], v[0]) for v in verdicts({"uses": uses, "structs": structs}, "LiftUntypedParamToStructPattern")} == {("f", "ok"), ("g", "too_few_fields"), ("h", "no_struct"), ("k", "ambiguous")}
+
+
+def test_markup_detectors(spark):
+    from coppice.operators import clones as C
+    from coppice.sources.markup import nodes
+
+    box = '<section class="{}"><h2>{}</h2><ul><li>a</li><li>b</li><li>c</li></ul><p>{{@x}}</p><div><span>x</span><span>y</span></div></section>'
+    pages = spark.createDataFrame([(k, "<main>\n" + box.format("a b", "T") + "</main>") for k in (1, 2, 3)], "page_id long, html string")
+    elements = nodes(pages).withColumn("path", F.col("tree_id").cast("string"))
+    fragments = C.fragments(pages, 6, ("exact", "motif"))
+    near = C.near_clusters(*C.near_pairs(pages, 0.85, 8))
+    declared = spark.createDataFrame([("section", 0, "id"), ("section", 1, "class")], "component string, pos int, attr string")
+    relations = {"elements": elements, "fragments": fragments, "near": near, "declared": declared, "defaults": spark.createDataFrame([("section", "class", "a b")], "component string, attr string, default string")}
+    assert len(verdicts(relations, "ExtractHeexExactClone")) == 1 and len(verdicts(relations, "ProposeSharedHeexComponent")) == 1
+    assert {v[3]["motif"] for v in verdicts(relations, "ExtractToPublicComponent") if v[0] == "ok"} == {"item_list"}
+    assert len(verdicts(relations, "DropRedundantAttrDefaults")) == 3
+    assert {v[3]["attr"] for v in verdicts(relations, "GenerateHeexAssignContracts")} == {"x"}
+    assert {v[0] for v in verdicts(relations, "ExtractHeexComponentBySeam")} == {"too_short"}
+    assert {v[0] for v in verdicts(relations, "ExtractHeexComponentBySeam", lines=1)} <= {"ok", "no_assign"}
+
+
 def test_detect_needs_its_relations(code):
     with pytest.raises(ValueError):
         engine.detected({}, [r for r in engine.rules() if r.name == "SortKeywords"])
