@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 
+#: Bytes of an Arrow batch that goes to Python; long texts make batches of many rows large.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def session(app: str = "coppice", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators expect; ``conf`` overrides them."""
@@ -29,7 +33,13 @@ def session(app: str = "coppice", master: str | None = None, **conf: str) -> Spa
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where their path does not already have it."""
+    """Readies a session for this package's Python workers.
+
+    Batches are bounded in bytes where the session still has Spark's default, and the package
+    is sent along where the workers' path does not already have it.
+    """
+    if spark.conf.get(_BATCH_CONF, None) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     have = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if any(p and (Path(p) / _ROOT.name).resolve() == _ROOT for p in have):
         return
