@@ -52,7 +52,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most ``limit`` bytes each (or one longer row)."""
     i, n = 0, len(offsets) - 1
     while i < n:

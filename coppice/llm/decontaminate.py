@@ -18,7 +18,7 @@ match; items that share an id count once; every row gives one row, repeated rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.bytescan import ALNUM, LOWER, slices, span_hashes, text_buffers, word_bounds
-from coppice.session import ship
+from coppice.session import cut, ship
 
 SPANS = "array<struct<start:int,stop:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -198,32 +198,37 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, window: int, text: str, item: str, item_bytes: int) -> Iterator[Benchmark]:
+def _plans(benchmark: DataFrame, window: int, text: str, item: str, item_bytes: int) -> Iterator[Callable[[], Benchmark]]:
+    """Makers of the benchmark's parts, at least one."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("i is not null and t is not null")
     total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
-    parts = -(-total // item_bytes)
+    parts = max(1, -(-total // item_bytes))
     for k in range(parts):
         part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield Benchmark([(r.i, r.t) for r in part.collect()], window)
+        yield lambda part=part: Benchmark([(r.i, r.t) for r in part.collect()], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 16 << 20) -> DataFrame:
-    """All columns of ``docs`` with ``_words`` (long), ``_spans`` (hit word ranges) and ``_items`` (sorted ids)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 16 << 20, clean: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``_words`` (long), ``_spans`` (hit word ranges) and ``_items`` (sorted ids).
+
+    With ``clean`` the text comes without the words of its spans. A benchmark of several parts
+    passes over the texts that often; each pass is written before the next begins.
+    """
     ship(docs.sparkSession)
     names = docs.columns
     at = names.index(text)
     out = docs.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast(SPANS).alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     schema = out.schema
-    any_part = False
-    for part in _parts(benchmark, window, item_text, item, item_bytes):
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(part), at), schema)
-        any_part = True
-    if not any_part:
-        out = out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast(Benchmark([], window)), at), schema)
+    share = docs.sparkSession.sparkContext.broadcast
+    found = list(_plans(benchmark, window, item_text, item, item_bytes))
+    for k, make in enumerate(found):
+        out = out.mapInArrow(_scanner(share(make()), at, clean and k == len(found) - 1), schema)
+        if k < len(found) - 1:
+            out = cut(out)
     return out
 
 
-def _scanner(shared, at: int):
+def _scanner(shared, at: int, clean: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for batch in batches:
@@ -238,7 +243,14 @@ def _scanner(shared, at: int):
                 if mine:
                     all_spans[r] = [{"start": a, "stop": b} for a, b in merged(list(mine))]
                     all_items[r] = sorted(items.get(r, set()) | set(old_items[r].as_py() or ()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts), pa.array(all_spans, _SPAN), pa.array(all_items, pa.list_(pa.string()))], names=batch.schema.names)
+            columns = list(batch.columns[:-3])
+            if clean and any(all_spans):
+                texts = columns[at].to_pylist()
+                for r, own in enumerate(all_spans):
+                    if own:
+                        texts[r] = without_words(texts[r], [(s["start"], s["stop"]) for s in own])
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(all_spans, _SPAN), pa.array(all_items, pa.list_(pa.string()))], names=batch.schema.names)
 
     return scan
 
@@ -255,23 +267,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
     altogether. ``n_chars``, if there is such a column, is counted anew for cut texts; other
     columns and untouched documents stay as they are.
     """
-    found = contamination(docs, benchmark, window, text, **names)
-    kept = found.filter((hit_words() <= F.lit(max_coverage) * F.col("_words")) | F.col("_spans").isNull())
-    at = docs.columns.index(text)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(batch.num_columns - 2)
-            touched = np.flatnonzero(np.asarray(spans.is_valid()))
-            columns = list(batch.columns)
-            if len(touched):
-                texts = columns[at].to_pylist()
-                for r in touched.tolist():
-                    texts[r] = without_words(texts[r], [(s["start"], s["stop"]) for s in spans[r].as_py()])
-                columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    out = kept.mapInArrow(clean, kept.schema)
+    found = contamination(docs, benchmark, window, text, clean=True, **names)
+    out = found.filter((hit_words() <= F.lit(max_coverage) * F.col("_words")) | F.col("_spans").isNull())
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

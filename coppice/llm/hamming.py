@@ -290,11 +290,12 @@ def block_masks(widths: tuple[int, ...]) -> list[int]:
 
 
 def dealt(rows: DataFrame, widths: tuple[int, ...], budget: int) -> DataFrame:
-    """Each row (fp, id) under the keys of its equal blocks."""
+    """Each row (fp, id) under the keys of its equal blocks; fingerprints of one ``kind``, if there is one, meet."""
     if sum(widths) != 64 or len(widths) <= budget:
         raise ValueError("the blocks must cover 64 bits and be more than the budget")
     chosen = [sum(c) for c in combinations(block_masks(widths), len(widths) - budget)]
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
+    kind = [F.col("kind")] if "kind" in rows.columns else []
+    keys = F.array(*[F.xxhash64(F.lit(k), *kind, F.col("fp").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(chosen)])
     return rows.select(F.explode(keys).alias("held"), "fp", "id")
 
 

@@ -31,24 +31,32 @@ from coppice.session import cut, ship
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The unsigned fingerprint of one UTF-8 text."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - width + 1
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+    digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[width - 1 :].tolist())), np.uint64, n)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: bits that over half of them have; zero for none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The unsigned fingerprint of one UTF-8 text."""
+    return folded(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:

@@ -82,7 +82,7 @@ def fit(sample: DataFrame, features: int = 4096, parts: int = 8) -> tuple[np.nda
     """Buckets, their weights and the intercept, from ``labelled_sample``'s bounded rows."""
     spark = sample.sparkSession
     ship(spark)
-    sample = cut(sample.repartition(parts, "k"))
+    sample = cut(sample.coalesce(parts))  # each part sends its dense counts to one task
     counts = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
