@@ -8,8 +8,8 @@ their differing bits accumulate, and a pair goes once it exceeds the budget or o
 that lies below it is one component already. A key yields a spanning forest of its links.
 
 Rows stream through a task sorted by key and are never all held. A key with over
-``group_limit`` rows is passed on instead of gathered and dealt anew by pairs of its next
-trie bits that the budget allows, round by round, until each group fits.
+``group_limit`` rows is passed on instead of gathered: its rows are cut into chunks of half
+that size, and every pair of chunks is joined as a group of its own.
 """
 
 from __future__ import annotations
@@ -299,29 +299,27 @@ def dealt(rows: DataFrame, widths: tuple[int, ...], budget: int) -> DataFrame:
     return rows.select(F.explode(keys).alias("held"), "fp", "id")
 
 
-def hamming_links(rows: DataFrame, budget: int, widths: tuple[int, ...], group_limit: int = 32_000, prefix_bits: int = 6, trie: bool = True) -> DataFrame:
+def hamming_links(rows: DataFrame, budget: int, widths: tuple[int, ...], group_limit: int = 32_000, trie: bool = True) -> DataFrame:
     """Links (a, b) between ids: a spanning forest of the pairs of fingerprints within the budget.
 
     ``rows`` has fp and id, both long; ids with one fingerprint are linked, too. Without
-    ``trie``, groups of up to some hundred rows are compared pair by pair.
+    ``trie``, groups of up to some ten thousand rows are compared pair by pair.
     """
     spark = rows.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    deal, found, depth = dealt(rows, widths, budget), None, 0
-    near = [m for m in range(1 << prefix_bits) if bin(m).count("1") <= budget]
-    while True:
-        joined = cut(deal.repartition(parts, "held").sortWithinPartitions("held").mapInArrow(_join_groups(group_limit, budget, trie), LINKS))
-        links = joined.filter("held is null").select("a", "b")
-        found = links if found is None else found.unionByName(links)
-        wide = joined.filter("held is not null")
-        if wide.isEmpty():
-            return found
-        if depth + prefix_bits > 64:  # one fingerprint with many ids: a star by the least id
-            least = wide.groupBy("held", "a").agg(F.min("b").alias("hub"))
-            return found.unionByName(wide.join(least, ["held", "a"]).filter("b <> hub").select(F.col("hub").alias("a"), "b"))
-        own = F.shiftrightunsigned(F.col("a"), 64 - depth - prefix_bits).bitwiseAND(F.lit((1 << prefix_bits) - 1)).cast("int")
-        partner = F.explode(F.transform(F.array(*[F.lit(m) for m in near]), lambda m: m.bitwiseXOR(F.col("own"))))
-        pairs = wide.select("held", F.col("a").alias("fp"), F.col("b").alias("id"), own.alias("own")).select("held", "fp", "id", "own", partner.alias("other"))
-        deal = pairs.select(F.xxhash64("held", F.least("own", "other"), F.greatest("own", "other")).alias("held"), "fp", "id")
-        depth += prefix_bits
+
+    def joined(keyed: DataFrame, limit: int) -> DataFrame:
+        return cut(keyed.repartition(parts, "held").sortWithinPartitions("held").mapInArrow(_join_groups(limit, budget, trie), LINKS))
+
+    first = joined(dealt(rows, widths, budget), group_limit)
+    links = first.filter("held is null").select("a", "b")
+    wide = first.filter("held is not null").select("held", F.col("a").alias("fp"), F.col("b").alias("id"))
+    if wide.isEmpty():
+        return links
+    chunks = wide.groupBy("held").agg(F.ceil(F.count(F.lit(1)) * 2 / group_limit).cast("int").alias("n"))
+    placed = wide.join(chunks, "held").withColumn("own", F.pmod(F.xxhash64("fp", "id"), F.col("n")).cast("int"))
+    pairs = placed.select("held", "fp", "id", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    again = pairs.select(F.xxhash64("held", F.least("own", "other"), F.greatest("own", "other")).alias("held"), "fp", "id")
+    # Two chunks of a hashed cut hold about the limit; they are joined whatever they hold.
+    return links.unionByName(joined(again, 1 << 31).select("a", "b"))
