@@ -251,6 +251,14 @@ def test_model_scores(unique_docs, odd_docs, no_docs):
     assert pitman_yor.model_scores(unique_docs, F.lit(True)).filter("train_tokens <> 0 or score is null").count() == 0
 
 
+def test_rare_contexts_are_seated(spark):
+    """A word that stands only after a context seen once scores above a word never seen."""
+    rows = [(k, "one two three two one") for k in range(20)] + [(20, "qa qb"), (1000, "qa qb"), (1001, "qa zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.model_scores(docs, F.col("doc_id") >= 1000).collect()}
+    assert got[1000] > got[1001] + 0.01
+
+
 def test_model_is_normalised(spark):
     """Over all one-word continuations of a context and the unknown word, probabilities sum to one."""
     rng = random.Random(8)
