@@ -214,6 +214,55 @@ def test_line_dedup(spark, unique_docs, odd_docs, no_docs):
     assert line_dedup.without_repeated_lines(no_docs).count() == 0
 
 
+def brute_all_lines(rows, min_words, similarity=0.8, shortest=None):
+    """Brute force by edit similarity alone; ``shortest``: least words of lines that are compared for equality."""
+    places = []
+    for d, t in rows:
+        for k, line in enumerate((t or "").split("\n")):
+            form = tuple(re.findall(rb"[0-9a-z\x80-\xff]+", line.encode().lower())) or (line.strip().encode() + b" ",)
+            if form != (b" ",) and (shortest or len(form) >= min_words):
+                places.append((d, k, form))
+    places.sort()
+    parent, forms = {}, sorted({p[2] for p in places})
+    for i, a in enumerate(forms):
+        for b in forms[:i]:
+            if min(len(a), len(b)) >= min_words and line_dedup.edit_within(list(a), list(b), int((1 - similarity) * max(len(a), len(b)) + 1e-9)):
+                parent[find(parent, a)] = find(parent, b)
+    seen, gone = set(), set()
+    for d, k, form in places:
+        root = find(parent, form)
+        if root in seen:
+            gone.add((d, k))
+        seen.add(root)
+    return gone
+
+
+def edited_lines(seed):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    lines = []
+    for length in [5, 6, 9, 10, 14, 20, 33, 50, 90, 140] * 3:
+        base = rng.choices(words, weights=[1 / (k + 1) for k in range(300)], k=length)
+        for edits in (0, 1, length // 10, length // 5, length // 5 + 1, length // 4):
+            own = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(own))
+                own[at : at + rng.choice([0, 1, 1])] = [rng.choice(words)] * rng.choice([0, 1, 1])
+            lines.append(" ".join(own))
+    rng.shuffle(lines)
+    return [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(len(lines) // 3)]
+
+
+def test_line_dedup_finds_all_near_lines(spark):
+    rows = edited_lines(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_all_lines(rows, 5)
+    assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=None).collect()} == want
+    marks = line_dedup._marks(line_dedup._identified(docs, "text", "doc_id"), 5, 0.8)
+    one, cut_up = ({tuple(r) for r in line_dedup.line_candidates(marks, 0.8, True, group_limit=k).collect()} for k in (32_000, 20))
+    assert one == cut_up
+
+
 def test_near_duplicates(spark, odd_docs, no_docs):
     rng = random.Random(6)
     words = [f"x{k}" for k in range(5000)]
