@@ -60,7 +60,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), budget=None)
+    out = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents"), budget=None, short=True)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -263,6 +263,16 @@ def test_line_dedup_finds_all_near_lines(spark):
     assert one == cut_up
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved\n----\n\nHome"), (2, "all  rights, reserved!\n ----\n====\n\n home "), (3, "\u65e5\u672c\u8a9e\u306e\u884c\nall rights"), (4, "\u65e5\u672c\u8a9e\u306e\u884c\n\none two three four\n----"), (5, "one two three five"), (6, None), (7, " \n")]
+    rows += [(100 + d, t) for d, t in edited_lines(12)[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=None, short=True).collect()}
+    assert got == brute_all_lines(rows, 5, shortest=1) and {g for g in got if g[0] < 100} == {(2, 0), (2, 1), (2, 4), (4, 0), (4, 3)}
+    again = {(r.id, r.line) for r in line_dedup.repeated_lines(docs, short=True).filter("id < 100").collect()}
+    assert again == {g for g in got if g[0] < 100}
+
+
 def test_near_duplicates(spark, odd_docs, no_docs):
     rng = random.Random(6)
     words = [f"x{k}" for k in range(5000)]
