@@ -22,7 +22,7 @@ def relations(spark: SparkSession, d: str) -> engine.Relations:
     clauses = docs.select(
         F.col("source").alias("path"), F.col("doc_id").cast("int").alias("line"), F.col("source").alias("module"), F.concat("lang", F.lit("_to_"), "source").alias("name"), (words % 3).alias("arity"),
         F.md5("text").alias("body_hash"), F.md5(F.regexp_replace("text", "[A-Z][a-z]*", "X")).alias("skeleton_hash"), words.alias("mass"), (F.col("doc_id") % 3 > 0).alias("public"), F.lit(1).alias("n_clauses"), F.lit(1).alias("lines"),
-        F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]*"), F.lit(0)), 1, 8).alias("literals"),
+        F.regexp_extract_all("text", F.lit("[A-Z][a-z]*"), F.lit(0)).alias("literals"),
     )
     k = F.get_json_object("props", "$.k")
     calls = events.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").cast("int").alias("line"), F.lit("events").alias("module"), F.concat(F.lit("u"), (F.col("user_id") % 40)).alias("caller"), F.concat(F.lit("u"), F.col("user_id") % 7).alias("callee"), F.lit(0).alias("pos"), F.col("event_type").alias("arg"), F.lit(True).alias("literal"), F.lit(False).alias("dynamic"))

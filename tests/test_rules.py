@@ -233,3 +233,17 @@ def test_detect_needs_its_relations(code):
         engine.detected({}, [r for r in engine.rules() if r.name == "SortKeywords"])
     kinds = {r.rule for r in engine.detected(code, [r for r in engine.rules() if r.detect]).select("rule").distinct().collect()}
     assert {"DelegateExactDuplicates", "ExtractMagicNumber", "UnusedVariable"} <= kinds
+
+
+def test_findings_see_all_literals(spark, tmp_path):
+    """Texts of one skeleton that differ after the eighth literal have holes there."""
+    from coppice.plans.rules import relations
+
+    words = [f"Word filler{k}" for k in range(30)]
+    text = lambda name, many: " ".join(words[:20] + [w.replace("Word", name) for w in words[20 : 20 + many]] + words[20 + many :])
+    docs = [(3 * k + 1, f"src{k}", "en", t.replace("filler", "few") if k < 2 else t) for k, t in enumerate([text("Alpha", 1), text("Beta", 1), text("Alpha", 9), text("Beta", 9)])]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "user_id long, event_id long, event_type string, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = verdicts(relations(spark, str(tmp_path)), "ExtractParametricClone")
+    assert sorted(v[0] for v in got) == ["ok", "too_many_literals"]
