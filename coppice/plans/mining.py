@@ -69,6 +69,13 @@ def surface_pairs(spark, d):
     return M.surface_pairs(surfaces, "user_id", "f")
 
 
+@query()
+def surface_pairs_users(spark, d):
+    """All pairs of users that share a value, not folded into few owners."""
+    surfaces = table(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").alias("f"))
+    return M.surface_pairs(surfaces, "user_id", "f")
+
+
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2")
 def family_seed(spark, d):
     return M.families(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
@@ -105,3 +112,10 @@ def flag_arg(spark, d):
 def literal_groups(spark, d):
     items = table(spark, d, "lineitem").filter("l_discount = 0.1D and l_tax = 0.08D").select("l_returnflag", F.col("l_quantity").cast("long").alias("literal"), "l_linestatus")
     return M.literal_groups(items, ["l_returnflag"], "literal", "l_linestatus", F.col("literal") >= 10)
+
+
+@query()
+def literal_groups_all(spark, d):
+    """Repeated literals of all line items, whatever their discount and tax."""
+    items = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("long").alias("literal"), "l_linestatus")
+    return M.literal_groups(items, ["l_returnflag"], "literal", "l_linestatus", F.col("literal") >= 10)

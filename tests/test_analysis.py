@@ -152,3 +152,23 @@ def test_segments():
     assert S.canonical_order([S.Segment(frozenset(), frozenset("b"), "z"), S.Segment(frozenset(), frozenset("a"), "y"), S.Segment(frozenset("ab"), frozenset(), "a")]) == [1, 0, 2]
     two = {"p": [S.Segment(frozenset(), frozenset(), h, 6) for h in "abcd"], "q": [S.Segment(frozenset(), frozenset(), h, 6) for h in "xabc"]}
     assert S.repeated_windows(two) == [("p", 0, 3), ("q", 1, 4)]
+
+
+def test_mining_queries_over_whole_tables(spark, tmp_path):
+    from coppice.plans.mining import literal_groups_all, surface_pairs_users
+
+    rng = random.Random(13)
+    uses = [(rng.randrange(60), rng.randrange(9)) for _ in range(150)]
+    spark.createDataFrame([(u, f'{{"k": {f}}}') for u, f in uses], "user_id long, props string").write.parquet(str(tmp_path / "events.parquet"))
+    own = {u: {f for v, f in uses if v == u} for u, _ in uses}
+    want = {(a, b): (len(own[a] & own[b]), len(own[a] & own[b]) / len(own[a] | own[b])) for a in own for b in own if a < b and own[a] & own[b]}
+    got = {(r.a, r.b): (r.shared, r.jaccard) for r in surface_pairs_users(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 0.00501 for p in want)
+    items = [(rng.choice("ANR"), float(rng.randint(1, 30)), rng.choice("OOOF"), rng.randint(0, 10) / 100, rng.randint(0, 8) / 100) for _ in range(150)]
+    spark.createDataFrame(items, "l_returnflag string, l_quantity double, l_linestatus string, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    groups = {}
+    for flag, quantity, status, *_ in items:
+        groups.setdefault((flag, int(quantity)), []).append(status)
+    why = lambda k, v: "too_few" if len(v) < 2 else "ambiguous" if len(set(v)) > 1 else "unnameable" if k[1] < 10 else None
+    want = {(*k, len(v), len(set(v)), why(k, v)) for k, v in groups.items()}
+    assert {(r.l_returnflag, r.literal, r.n, r.contexts, r.decline) for r in literal_groups_all(spark, str(tmp_path)).collect()} == want
