@@ -12,7 +12,8 @@ The automaton is built on the driver and shipped only while the items' text is w
 over the texts in turn, row by row, adding to what the parts before it found.
 
 Defined results: null and empty texts have no words and no hits; items without words never
-match; items that share an id count once; every row gives one row, repeated rows included;
+match; items that share an id count once; items without an id take no part in reports, as in
+the report's SQL, and with ``nameless`` (as when texts are cleaned) hit like others but are not listed; every row gives one row, repeated rows included;
 ``spans`` are half-open word ranges, disjoint and in order.
 """
 
@@ -184,7 +185,7 @@ class Benchmark:
                     row = int(rows[a])
                     base = a - int(first[row])
                     spans.setdefault(i + row, []).extend((base + s, base + e) for s, e in hits)
-                    items.setdefault(i + row, set()).update(found)
+                    items.setdefault(i + row, set()).update(found - {None})
         return counts, spans, items
 
 
@@ -198,17 +199,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _plans(benchmark: DataFrame, window: int, text: str, item: str, item_bytes: int) -> Iterator[Callable[[], Benchmark]]:
+def _plans(benchmark: DataFrame, window: int, text: str, item: str, item_bytes: int, nameless: bool = False) -> Iterator[Callable[[], Benchmark]]:
     """Makers of the benchmark's parts, at least one."""
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("i is not null and t is not null")
-    total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).filter("t is not null")
+    if not nameless:
+        rows = rows.filter("i is not null")
+    total = rows.agg(F.sum(F.octet_length("t") + F.coalesce(F.octet_length("i"), F.lit(0)) + 64)).first()[0] or 0
     parts = max(1, -(-total // item_bytes))
     for k in range(parts):
         part = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
         yield lambda part=part: Benchmark([(r.i, r.t) for r in part.collect()], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 16 << 20, clean: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 16 << 20, clean: bool = False, nameless: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``_words`` (long), ``_spans`` (hit word ranges) and ``_items`` (sorted ids).
 
     With ``clean`` the text comes without the words of its spans. A benchmark of several parts
@@ -220,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     out = docs.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast(SPANS).alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     schema = out.schema
     share = docs.sparkSession.sparkContext.broadcast
-    found = list(_plans(benchmark, window, item_text, item, item_bytes))
+    found = list(_plans(benchmark, window, item_text, item, item_bytes, nameless))
     for k, make in enumerate(found):
         out = out.mapInArrow(_scanner(share(make()), at, clean and k == len(found) - 1), schema)
         if k < len(found) - 1:
@@ -267,7 +270,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
     altogether. ``n_chars``, if there is such a column, is counted anew for cut texts; other
     columns and untouched documents stay as they are.
     """
-    found = contamination(docs, benchmark, window, text, clean=True, **names)
+    found = contamination(docs, benchmark, window, text, clean=True, nameless=True, **names)
     out = found.filter((hit_words() <= F.lit(max_coverage) * F.col("_words")) | F.col("_spans").isNull())
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))

@@ -178,3 +178,14 @@ def test_toxicity_ignores_other_columns(spark):
     docs = spark.createDataFrame([(k, "same text", lang) for k, lang in enumerate(["en", "de", None])], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity_scores(docs, labels).agg(F.countDistinct("_score")).first()[0] == 1
+
+
+@pytest.mark.parametrize("item_bytes", [1 << 20, 40])
+def test_items_without_id_are_cut_out(spark, item_bytes):
+    bench = spark.createDataFrame([(None, "one two three four five"), (None, "six seven eight nine ten"), ("a", "red green blue white black")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x0 x1 x2 x3 x4 one two three four five x5"), (2, "y0 y1 y2 y3 y4 red green blue white black y5")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in decontaminate.decontaminated(docs, bench, 4, item_bytes=item_bytes).collect()}
+    assert {k: t.split() for k, t in out.items()} == {1: "x0 x1 x2 x3 x4 x5".split(), 2: "y0 y1 y2 y3 y4 y5".split()}
+    hits = {r.doc_id: r._items for r in decontaminate.contamination(docs, bench, 4, item_bytes=item_bytes, nameless=True).collect()}
+    assert hits == {1: [], 2: ["a"]}
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.contamination_report(docs, bench, 4).collect()} == {1: (0, 0), 2: (5, 1)}
