@@ -38,8 +38,8 @@ def ship(spark: SparkSession) -> None:
     Batches are bounded in bytes where the session still has Spark's default, and the package
     is sent along where the workers' path does not already have it.
     """
-    if spark.conf.get(_BATCH_CONF, None) in ("67108864b", "67108864", "64m", "64MB"):
-        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    if spark.conf.get(_BATCH_CONF) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
     have = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if any(p and (Path(p) / _ROOT.name).resolve() == _ROOT for p in have):
         return
