@@ -171,8 +171,8 @@ def brute_lines(rows, min_words=5, budget=3, similarity=0.8):
     places.sort()
     prints, parent = {}, {}
     for form in {p[2] for p in places}:
-        ((_, _, _, sims, _, _),) = line_dedup._lines(pa.array([b" ".join(form).decode()]), 1)
-        prints[form] = int(sims[0])
+        ((hashes, heads, *_),) = line_dedup._parsed(pa.array([b" ".join(form).decode()]))
+        prints[form] = int(line_dedup.simhashes(hashes, heads)[0])
     forms = sorted(prints)
     for i, a in enumerate(forms):
         for b in forms[:i]:
@@ -203,8 +203,9 @@ def test_line_dedup(spark, unique_docs, odd_docs, no_docs):
             lines.append(" ".join(line))
         rows.append((d, "\n".join(lines) if rng.random() > 0.1 else None))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs).collect()} == brute_lines(rows)
-    gone = brute_lines([(r.doc_id, r.text) for r in unique_docs.collect()])
+    assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=3, short=False).collect()} == brute_lines(rows)
+    assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs).collect()} == brute_all_lines(rows, 5, shortest=1)
+    gone = brute_all_lines([(r.doc_id, r.text) for r in unique_docs.collect()], 5, shortest=1)
     out = {r.doc_id: r for r in line_dedup.without_repeated_lines(unique_docs).collect()}
     for r in unique_docs.collect():
         want = None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in gone)
@@ -257,19 +258,87 @@ def test_line_dedup_finds_all_near_lines(spark):
     rows = edited_lines(11)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_all_lines(rows, 5)
-    assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=None).collect()} == want
-    marks = line_dedup._marks(line_dedup._identified(docs, "text", "doc_id"), 5, 0.8)
+    for most, width in ((8_192, 1), (8_192, 3), (3, 2)):  # areas in a task, and areas joined by their rarest words
+        assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs, short=False, most_lines=most, width=width).collect()} == want
+    classes = np.zeros(line_dedup.CLASSES, np.uint8)
+    lines = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in enumerate(line for _, x in rows for line in x.split("\n"))], "id long, t binary")
+    marks = line_dedup._word_marks(lines, classes, 0.8)
     one, cut_up = ({tuple(r) for r in line_dedup.line_candidates(marks, 0.8, True, group_limit=k).collect()} for k in (32_000, 20))
     assert one == cut_up
 
 
+def test_linked_lines_lie_in_one_area():
+    """Every linked pair is connected by the shared runs, whatever the order of words, the shards and the widths."""
+    for seed in range(6):  # all widths, with and without runs that are held wide
+        rng = np.random.default_rng(seed)
+        lines = [x.split() for _, t in edited_lines(20 + seed) for x in t.split("\n")]
+        lines = [x for x in dict.fromkeys(map(tuple, lines)) if len(x) >= 5]
+        column = pa.array(["\n".join(" ".join(x) for x in lines)])
+        ((hashes, heads, n, _, _, content),) = line_dedup._parsed(column)
+        line, at, run = line_dedup._marks(hashes, heads, n, rng.integers(0, 20, line_dedup.CLASSES).astype(np.uint8), 0.8, 1 + seed % 3, 5)
+        within = np.repeat(np.arange(len(n)), n)
+        maps = line_dedup._sketches(hashes, within, len(n))[:, line]
+        kept = np.split(np.argsort(n[line]), np.searchsorted(np.sort(n[line]), [48, 110], side="right"))
+        told = [line_dedup._packed(run[k], content[line][k], n[line][k], at[k], line_dedup._folded(maps[:, k], 1 << w)) for w, k in enumerate(kept)]
+        a, b = line_dedup._links(np.concatenate([line_dedup._unpacked(m) for m in told], axis=1), 0.8, wide=[16_384, 3][seed // 3])
+        place = {int(c >> np.uint64(16)): k for k, c in enumerate(content)}
+        parent = {}
+        for u, v in zip(a.tolist(), b.tolist()):
+            parent[find(parent, place[u])] = find(parent, place[v])
+        x, y = np.triu_indices(len(n), 1)
+        near = line_dedup.edits_within(hashes, heads, n, x, y, 0.8)
+        assert near.sum() > 100 and all(find(parent, u) == find(parent, v) for u, v in zip(x[near].tolist(), y[near].tolist()))
+        labels = line_dedup._clusters(hashes, heads, n, np.zeros(len(n), np.int64), 0.8, together=[64, 10_000][seed % 2])
+        parent = {}
+        for u, v in zip(x[near].tolist(), y[near].tolist()):
+            parent[find(parent, u)] = find(parent, v)
+        roots = [find(parent, k) for k in range(len(n))]
+        assert len(set(zip(roots, labels.tolist()))) == len(set(roots)) == len(set(labels.tolist()))
+
+
+def test_batch_edit_distance():
+    rng = random.Random(3)
+    lines = [x.split() for _, t in edited_lines(3) for x in t.split("\n")]
+    lines += [[rng.choice("abc") for _ in range(rng.randint(5, 400))] for _ in range(40)]
+    ids = {w: k + 1 for k, w in enumerate(sorted({w for x in lines for w in x}))}
+    words = np.array([ids[w] for x in lines for w in x], np.uint64)
+    n = np.array([len(x) for x in lines])
+    x, y = (np.array([rng.randrange(len(lines)) for _ in range(3000)]) for _ in "xy")
+    got = line_dedup.edits_within(words, np.cumsum(n) - n, n, x, y, 0.8, cells=1 << 12)
+    assert got.tolist() == [line_dedup.edit_within(lines[a], lines[b], int(0.2 * max(len(lines[a]), len(lines[b])) + 1e-9)) for a, b in zip(x, y)]
+
+
+def test_marks_of_a_message_come_back():
+    rng = np.random.default_rng(1)
+    run, line, n, at = rng.integers(0, 1 << 32, 50, dtype=np.uint64), rng.integers(0, 1 << 63, 50, dtype=np.uint64), rng.integers(5, 1 << 17, 50), rng.integers(0, 1 << 17, 50)
+    maps = rng.integers(0, 1 << 63, (4, 50), dtype=np.uint64)
+    for words in (1, 2, 4):
+        own = line_dedup._folded(maps, words)
+        back = line_dedup._unpacked(line_dedup._packed(run, line, n, at, own))
+        for got, want in zip(back, (run, line >> np.uint64(16), np.minimum(n, line_dedup._FAR), np.minimum(at, line_dedup._FAR), np.full(50, words))):
+            assert (got == want.astype(np.uint64)).all()
+        assert (back[5] == np.bitwise_xor.reduce(maps, axis=0)).all() and (back[8 : 8 + words] == own).all()
+
+
+def test_line_dedup_takes_any_ids_and_columns(spark):
+    text = "the first line of all of these\nanother line that is here as well"
+    rows = [("b", text, 1, 2, 3, 4), ("a", text, 5, 6, 7, 8), (None, text, 9, 10, 11, 12), ("c", "x " * 30_000, 0, 0, 0, 0), ("c", "x " * 30_000, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _id long, id int, gone int, _tie int")
+    out = {(r.doc_id, r._id): r for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert out["a", 5].text == text and out["a", 5].gone == 7 and out["b", 1].text == "" and out["b", 1]._tie == 4 and out[None, 9].text == ""
+    assert out["c", 0].text == "x " * 30_000
+    with pytest.raises(ValueError):
+        line_dedup.without_repeated_lines(docs.withColumn("_lines", F.lit(1)))
+    assert line_dedup.without_repeated_lines(docs.withColumn("_lines", F.lit(1)), counts=("a1", "a2")).columns == [*docs.columns, "_lines", "a1", "a2"]
+
+
 def test_line_dedup_of_short_lines(spark):
     rows = [(1, "All rights reserved\n----\n\nHome"), (2, "all  rights, reserved!\n ----\n====\n\n home "), (3, "\u65e5\u672c\u8a9e\u306e\u884c\nall rights"), (4, "\u65e5\u672c\u8a9e\u306e\u884c\n\none two three four\n----"), (5, "one two three five"), (6, None), (7, " \n")]
     rows += [(100 + d, t) for d, t in edited_lines(12)[:20]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=None, short=True).collect()}
+    got = {(r.id, r.line) for r in line_dedup.repeated_lines(docs).collect()}
     assert got == brute_all_lines(rows, 5, shortest=1) and {g for g in got if g[0] < 100} == {(2, 0), (2, 1), (2, 4), (4, 0), (4, 3)}
-    again = {(r.id, r.line) for r in line_dedup.repeated_lines(docs, short=True).filter("id < 100").collect()}
+    again = {(r.id, r.line) for r in line_dedup.repeated_lines(docs, budget=3).filter("id < 100").collect()}
     assert again == {g for g in got if g[0] < 100}
 
 
