@@ -99,17 +99,18 @@ def pluralize(word: str) -> str:
 
 
 def singularize(word: str) -> str:
-    """The singular of an English noun by the regular rules and a short list."""
-    for one, many in IRREGULAR_PLURALS.items():
-        if word == many:
-            return one.rstrip("_")
-    if re.search("[^aeiou]ies$", word) and len(word) > 4:
-        return word[:-3] + "y"
-    if re.search("(ss|x|z|ch|sh)es$", word):
-        return word[:-2]
-    if word.endswith("s") and not re.search("(ss|us|is)$", word) and len(word) > 2:
-        return word[:-1]
-    return word
+    """The singular of an English noun by three endings: -ies, -es after ss, x and z, and -s.
+
+    A mark at the end goes; words of up to two letters and words without such an ending pass.
+    """
+    base = word.rstrip("?!")
+    if len(base) <= 2 or base.endswith("ss"):
+        return base
+    if base.endswith("ies"):
+        return base[:-3] + "y"
+    if base.endswith(("sses", "xes", "zes")):
+        return base[:-2]
+    return base[:-1] if base.endswith("s") else base
 
 
 def pluralize_compound(name: str) -> str:

@@ -3,7 +3,9 @@
 A template is source text in which ``$name`` stands for any balanced run of tokens without a
 comma or statement break at its own level; the same name stands for the same tokens.
 Strings, sigils and comments are single tokens, so nothing inside them ever matches. A
-``$name`` outside of brackets that no comma ends stands for one operand only.
+``$name`` outside of brackets that no comma ends stands for one operand only; a pattern that
+begins with one never begins within a pipe. In a replacement ``$(name)`` puts brackets around
+what an operator roots.
 """
 
 from __future__ import annotations
@@ -63,10 +65,31 @@ def _operand(stream: list[Token], at: int) -> int:
     return k
 
 
+def in_guard(stream: list[Token], at: int) -> bool:
+    """Whether the token stands between ``when`` and what ends a guard."""
+    for t in reversed(stream[:at]):
+        if t.text == "when":
+            return True
+        if t.text in ("do", "->", "do:", "end", ";", "def", "defp", "fn"):
+            return False
+    return False
+
+
+def _rooted_by_operator(text: str) -> bool:
+    """Whether an operator stands outside of all brackets."""
+    stream = [t for t in tokens(text) if t.kind != "newline"]
+    return bool(stream) and 0 <= _operand(stream, 0) < len(stream)
+
+
 class Template:
-    """One pattern and its replacement; ``where`` has regular expressions that captured texts must fit."""
+    """One pattern and its replacement.
 
-    def __init__(self, pattern: str, replacement: str, where: dict[str, str] | None = None) -> None:
+    ``where`` has regular expressions that captured texts must fit; ``guard`` asks that the
+    match stands in a guard (True) or outside of guards (False).
+    """
+
+    def __init__(self, pattern: str, replacement: str, where: dict[str, str] | None = None, guard: bool | None = None) -> None:
+        self.guard = guard
         self.pattern = [t for t in tokens(pattern) if t.kind != "newline"]
         self.replacement = replacement
         self.where = {name: re.compile(r, re.S) for name, r in (where or {}).items()}
@@ -119,22 +142,39 @@ class Template:
             return -1
         return at
 
+    @staticmethod
+    def _within_pipe(stream: list[Token], at: int) -> bool:
+        """Whether the operand that begins here belongs to a pipe, call or operator before it."""
+        if stream[at].text in ("(", "[") and stream[at - 1].kind == "word" and stream[at - 1].stop == stream[at].start:
+            return True
+        k = at - 1
+        while k >= 0 and stream[k].kind == "newline":
+            k -= 1
+        return k >= 0 and stream[k].text in ("|>", ".", "..", "&", "+", "-", "*", "/", "++", "--", "<>", "@")
+
     def matches(self, source: str, stream: list[Token] | None = None) -> Iterator[tuple[int, int, str]]:
         """Edits (start, stop, replacement) of the places where the pattern stands, from the left, not overlapping."""
         stream = tokens(source) if stream is None else stream
         at = 0
         while at < len(stream):
             bound: dict[str, tuple[int, int]] = {}
-            joined = at and stream[at - 1].text == "." and stream[at].kind == "word"
+            joined = at and (stream[at - 1].text in (".", "&") and stream[at].kind == "word" or self.pattern[0].kind == "meta" and self._within_pipe(stream, at))
             end = -1 if joined or stream[at].kind == "newline" else self._match(stream, at, 0, bound)
             if end < 0:
                 at += 1
                 continue
             held = {name: source[stream[a].start : stream[b - 1].stop].strip() for name, (a, b) in bound.items()}
-            if any(not r.fullmatch(held[name]) for name, r in self.where.items()):
+            if any(not r.fullmatch(held[name]) for name, r in self.where.items()) or self.guard is not None and in_guard(stream, at) != self.guard:
                 at += 1
                 continue
-            yield stream[at].start, stream[end - 1].stop, re.sub(r"\$[a-z_]+", lambda m: held[m[0]], self.replacement)
+
+            def put(m: re.Match) -> str:
+                if m[1]:
+                    value = held[f"${m[1]}"]
+                    return f"({value})" if _rooted_by_operator(value) else value
+                return held[m[0]]
+
+            yield stream[at].start, stream[end - 1].stop, re.sub(r"\$\(([a-z_]+)\)|\$[a-z_]+", put, self.replacement)
             at = end
 
 

@@ -84,6 +84,15 @@ def disjoint(edits: Sequence[tuple[int, int, str]]) -> bool:
     return all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
 
 
+def most_disjoint(edits: Sequence[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """As many edits as can stand together: always the one that ends first of those that begin after the last."""
+    out: list[tuple[int, int, str]] = []
+    for edit in sorted(edits, key=lambda e: (e[1], e[0])):
+        if not out or edit[0] >= out[-1][1]:
+            out.append(edit)
+    return out
+
+
 def spliced(text: str, edits: Sequence[tuple[int, int, str]]) -> str:
     for start, stop, new in sorted(edits, reverse=True):
         text = text[:start] + new + text[stop:]
@@ -99,8 +108,7 @@ def conflicts(patches: DataFrame) -> DataFrame:
 def _apply(rule: Rule, text: str, options: dict) -> str:
     if rule.rewrite is not None:
         return rule.rewrite(text, options)
-    edits = rule.patches(text, options)
-    return spliced(text, edits) if disjoint(edits) else spliced(text, edits[:1])
+    return spliced(text, most_disjoint(rule.patches(text, options)))
 
 
 def run(text: str, selection: Sequence[Rule], configured: dict[str, dict] | None = None, max_passes: int = MAX_PASSES) -> Result:

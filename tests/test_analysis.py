@@ -136,7 +136,7 @@ def test_names():
     assert N.latch_score("cs", ["changeset"], strong=False) == 0
     assert N.resolve("bc", [("build_changeset", True), ("big_cat", True)]) is None and N.resolve("bc", [("build_changeset", True), ("other", True)]) == "build_changeset"
     assert [N.pluralize(w) for w in ("box", "city", "day", "person", "user")] == ["boxes", "cities", "days", "people", "users"]
-    assert [N.singularize(w) for w in ("boxes", "cities", "days", "people", "users", "status", "class")] == ["box", "city", "day", "person", "user", "status", "class"]
+    assert [N.singularize(w) for w in ("boxes", "cities", "days", "children", "people", "data", "users", "classes", "class", "is")] == ["box", "city", "day", "children", "people", "data", "user", "class", "class", "is"]
     assert [N.past_participle(w) for w in ("parse", "apply", "render")] == ["parsed", "applied", "rendered"]
     assert N.words("My.Mod.is_valid_user") == ["is", "valid", "user"] and N.same_family("pb3", "pb2") and not N.same_family("pb3", "mt2")
     import re

@@ -9,6 +9,61 @@ from coppice.functions.templates import Template, tokens
 from coppice.plans import engine
 from coppice.plans import findings as fnd
 
+#: Further shapes of the rules: tests reversed, negated, in guards and in pipes.
+SHAPES = [
+    *[("LengthZeroToEmpty", t.format(f"{f}(q)"), "Enum.empty?(q)") for f in ("length", "Enum.count") for t in ("{} == 0", "0 == {}")],
+    *[("LengthZeroToEmpty", t.format(f"{f}(q)"), "not Enum.empty?(q)") for f in ("length", "Enum.count") for t in ("{} > 0", "{} != 0", "0 < {}", "0 != {}")],
+    ("LengthZeroToEmpty", "q |> f() |> length() == 0", "q |> f() |> Enum.empty?()"),
+    ("LengthZeroToEmpty", "q |> Enum.count() > 0", "not (q |> Enum.empty?())"),
+    ("LengthZeroToEmpty", "Enum.count(q, &odd?/1) == 0", "not Enum.any?(q, &odd?/1)"),
+    ("LengthZeroToEmpty", "0 != Enum.count(q, &odd?/1)", "Enum.any?(q, &odd?/1)"),
+    ("LengthZeroToEmpty", "def f(q) when 0 == length(q), do: 1", "def f(q) when q == [], do: 1"),
+    ("LengthZeroToEmpty", "def f(q) when length(q) != 0, do: 1", "def f(q) when is_list(q) and q != [], do: 1"),
+    ("LengthInGuard", "def f(q) when length(q) >= 2, do: g(q)\ndef f(_q), do: 0", "def f([_, _ | _] = q), do: g(q)\ndef f([]), do: 0\ndef f([_]), do: 0\ndef f(_), do: 0"),
+    ("RangeToListRedundant", "Enum.to_list(a..b//2) |> Stream.map(f)", "a..b//2 |> Stream.map(f)"),
+    ("RangeToListRedundant", "Enum.filter(Enum.to_list(a..b), f)", "Enum.filter(a..b, f)"),
+    ("RangeToListRedundant", "1..n |> Enum.to_list() |> Enum.each(f)", "1..n |> Enum.each(f)"),
+    ("RangeToListRedundant", "Enum.to_list(Range.new(1, n)) |> Enum.map(f)", "Range.new(1, n) |> Enum.map(f)"),
+    ("MemberToInOperator", "not Enum.member?(ids, id)", "id not in ids"),
+    ("MemberToInOperator", "!Enum.member?(ids, id)", "id not in ids"),
+    ("MemberToInOperator", "ids |> Enum.member?(id)", "id in ids"),
+    ("MemberToInOperator", "Enum.member?(a ++ b, x || y)", "(x || y) in (a ++ b)"),
+    ("MemberToInOperator", "def f(x) when Enum.member?([1, 2], x), do: x", "def f(x) when x in [1, 2], do: x"),
+    ("MapGetUnsafePass", "m |> Keyword.get(:k, nil)", "m |> Keyword.get(:k)"),
+    ("SortForTopK", "q |> Enum.sort(:desc) |> Enum.take(1)", "q |> Enum.max()"),
+    ("SortForTopK", "Enum.take(Enum.sort(q), 1)", "[Enum.min(q)]"),
+    ("DebugInspectCleanup", 'IO.inspect(x, label: "here")', "dbg(x)"),
+    ("DebugInspectCleanup", 'x |> IO.inspect(label: "here")', "x |> dbg()"),
+    ("TryRescueWithSafeAlternative", "try do\n  Map.fetch!(m, :k)\nrescue\n  _e -> 0\nend", "Map.get(m, :k, 0)"),
+    ("EnumFindToKeyfind", "Enum.find(q, fn {_, v} -> want == v end)", "List.keyfind(q, want, 1)"),
+    ("EnumFindToKeyfind", "Enum.find(q, fn {t, _, _rest} -> t == :b end)", "List.keyfind(q, :b, 0)"),
+    ("EnumFindToKeyfind", "q |> g() |> Enum.find(fn {t, _} -> t == w end)", "q |> g() |> List.keyfind(w, 0)"),
+    ("EnumFindToKeyfind", "Enum.find(q, fn t -> elem(t, 1) == w end)", "List.keyfind(q, w, 1)"),
+    ("ReduceToNamedAggregate", "Enum.reduce(q, 1, fn x, acc -> x.w * acc end)", "Enum.product_by(q, fn x -> x.w end)"),
+    ("ReduceToNamedAggregate", "Enum.reduce(q, %{}, fn x, acc -> Map.update(acc, x.k, 1, fn c -> c + 1 end) end)", "Enum.frequencies_by(q, fn x -> x.k end)"),
+    ("ReduceToNamedAggregate", "q |> Enum.reduce(%{}, fn x, acc -> Map.update(acc, x.k, [x], &[x | &1]) end)", "q |> Enum.group_by(fn x -> x.k end)"),
+    ("ReduceToNamedAggregate", "Enum.reduce(q, %{}, fn x, acc -> Map.update(acc, x.k, [x.v], &[x.v | &1]) end)", "Enum.group_by(q, fn x -> x.k end, fn x -> x.v end)"),
+]
+
+#: Texts that a rule must leave as they are.
+ALONE = [
+    ("LengthZeroToEmpty", "def f(x) when Enum.count(x) == 0, do: 1"),
+    ("LengthZeroToEmpty", "Enum.count(x) >= 0"),
+    ("LengthZeroToEmpty", "length(x) == 5"),
+    ("LengthInGuard", "def f(x) when length(x) == 0, do: 1\ndef f(_), do: 2"),
+    ("LengthInGuard", "def f(x) when length(@q) > 0, do: x\ndef f(_), do: nil"),
+    ("RangeToListRedundant", "Enum.to_list(some) |> Enum.map(f)"),
+    ("RangeToListRedundant", "Enum.to_list(1..n) |> IO.inspect()"),
+    ("RangeToListRedundant", "Enum.to_list([1, 2]) |> Enum.map(f)"),
+    ("MemberToInOperator", "def f(x, q) when Enum.member?(q, x), do: x"),
+    ("MemberToInOperator", "q() |> Enum.filter(&ok?/1) |> Enum.member?(x)"),
+    ("MemberToInOperator", "Enum.zip_with(a, b, &Enum.member?/2)"),
+    ("TryRescueWithSafeAlternative", "try do\n  Map.fetch!(m, :k)\nrescue\n  KeyError -> 0\nend"),
+    ("NegatedBooleanName", "invalid = a\nnot_valid = b\n{invalid, not_valid}"),
+    ("UnwrapSpanInHeading", "<p><span>x</span></p>"),
+    ("MergePipelineIntoComprehension", "q |> f() |> Enum.filter(fn x -> x end) |> Enum.map(fn x -> x end)"),
+]
+
 CASES = [
     ("EnumIntoToMapNew", "Enum.into(xs, %{})", "Map.new(xs)"),
     ("EnumIntoToMapSet", "Enum.into(f(a, b), MapSet.new())", "MapSet.new(f(a, b))"),
@@ -49,7 +104,7 @@ CASES = [
     ("ExtractCondIfGuardClauses", "def f(x) do\n  if x > 0, do: 1, else: 2\nend", "def f(x) when x > 0, do: 1\ndef f(x), do: 2"),
     ("ExtractCondToGuardClauses", "def f(x) do\n  cond do\n    is_nil(x) -> 0\n    true -> x\n  end\nend", "def f(x) when is_nil(x), do: 0\ndef f(x), do: x"),
     ("IfLiftToClauses", "def f(x) do\n  if x == 1 do\n    :one\n  else\n    :more\n  end\nend", "def f(x) when x == 1, do: :one\ndef f(x), do: :more"),
-    ("LengthInGuard", "def f(xs) when length(xs) == 0, do: 1", "def f(xs) when xs == [], do: 1"),
+    ("LengthInGuard", "def go(list) when length(list) > 0, do: :some\ndef go(_), do: :none", "def go([_ | _]), do: :some\ndef go([]), do: :none\ndef go(_), do: :none"),
     ("InlineSingleExpressionDef", "def f(x) do\n  x + 1\nend", "def f(x), do: x + 1"),
     ("LambdaDestructureToHead", "Enum.map(xs, fn t -> {a, b} = t; a + b end)", "Enum.map(xs, fn {a, b} -> a + b end)"),
     ("MergePipelineIntoComprehension", "xs |> Enum.filter(fn x -> x > 1 end) |> Enum.map(fn x -> x * 2 end)", "for x <- xs, x > 1, do: x * 2"),
@@ -66,12 +121,29 @@ CASES = [
     ("ImportAfterAlias", "import X\nalias A", "alias A\nimport X"),
     ("RemoveBlankBetweenAttrAndDef", "@spec f() :: 1\n\n\ndef f, do: 1", "@spec f() :: 1\ndef f, do: 1"),
     ("NegatedBooleanName", "not_valid = x\nif not_valid, do: 1", "invalid = x\nif invalid, do: 1"),
-    ("UnwrapSpanInHeading", '<h2><span class="a">Hi</span></h2>', "<h2>Hi</h2>"),
+    ("NegatedBooleanName", "def f(x) do\n  not_found = x == []\n  g(not_found)\nend\n\ndef h(not_found), do: not_found", "def f(x) do\n  found = x == []\n  g(found)\nend\n\ndef h(not_found), do: not_found"),
+    ("UnwrapSpanInHeading", '<h2><span class="a">Hi</span></h2>', '<h2 class="a">Hi</h2>'),
+    ("UnwrapSpanInHeading", "<h2><small><span>Hi</span></small> you</h2>", "<h2><small>Hi</small> you</h2>"),
     ("CollapseRedundantHeexNesting", '<div><div class="x">q</div></div>', '<div class="x">q</div>'),
 ]
 
 
-@pytest.mark.parametrize(("name", "before", "after"), CASES)
+@pytest.mark.parametrize(("name", "text"), ALONE)
+def test_leaves_other_shapes_alone(name, text):
+    assert engine.run(text, [next(r for r in engine.rules() if r.name == name)]).text == text
+
+
+def test_options_of_rules():
+    rule = {r.name: r for r in engine.rules()}
+    assert engine.run("not_ready = f(x)\nnot_ready", [rule["NegatedBooleanName"]], {"NegatedBooleanName": {"known": {"not_ready": "pending"}}}).text == "pending = f(x)\npending"
+    assert engine.run("IO.inspect(x)", [rule["DebugInspectCleanup"]], {"DebugInspectCleanup": {"target": "logger"}}).text == "Logger.debug(inspect(x))"
+
+
+def test_overlapping_edits_keep_as_many_as_can_stand():
+    assert engine.most_disjoint([(0, 9, "a"), (1, 2, "b"), (3, 4, "c"), (4, 6, "d")]) == [(1, 2, "b"), (3, 4, "c"), (4, 6, "d")]
+
+
+@pytest.mark.parametrize(("name", "before", "after"), CASES + SHAPES)
 def test_source_rule(name, before, after):
     rule = next(r for r in engine.rules() if r.name == name)
     out = engine.run(before, [rule])
