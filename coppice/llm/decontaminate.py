@@ -8,8 +8,10 @@ item with fewer words, but not none, is one window of its own length. Words outs
 items' vocabulary send the automaton to its root, so only runs of known words are streamed.
 
 The automaton is built on the driver and shipped only while the items' text is within
-``item_bytes``; a larger benchmark is cut into parts below that bound, and each part passes
-over the texts in turn, row by row, adding to what the parts before it found.
+``item_bytes``: a state takes some 500 bytes and a word of five letters makes at most two states, so 1 MB
+of items makes an object of at most some 200 MB in each process. A larger benchmark is cut
+into parts below that bound, and each part passes over the texts in turn, row by row, adding
+to what the parts before it found.
 
 Defined results: null and empty texts have no words and no hits; items without words never
 match; items that share an id count once; items without an id take no part in reports, as in
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.bytescan import ALNUM, LOWER, slices, span_hashes, text_buffers, word_bounds
+from coppice.llm.rows import fresh, unclashed
 from coppice.session import cut, ship
 
 SPANS = "array<struct<start:int,stop:int>>"
@@ -40,8 +43,8 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.items: list[set[str]] = [set()]
-        self.whole: list[list[tuple[int, str]]] = [[]]
+        self.items: list[set[str] | tuple[()]] = [()]
+        self.whole: list[list[tuple[int, str]] | tuple[()]] = [()]
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
@@ -78,21 +81,25 @@ class SuffixAutomaton:
 
     def mark(self, sequences: list[tuple[str, list[int]]], window: int) -> None:
         """Notes which items have each state's strings, and where short items end."""
-        self.items = [set() for _ in self.next]
-        self.whole = [[] for _ in self.next]
+        # Sets of items are shared: the states of one item have one set between them.
+        sets: dict[frozenset, frozenset] = {}
+        self.items = [frozenset()] * len(self.next)
+        self.whole = [()] * len(self.next)
         for item, sequence in sequences:
             state = 0
             for symbol in sequence:
                 state = self.next[state][symbol]
                 up = state
                 while up > 0 and item not in self.items[up]:
-                    self.items[up].add(item)
+                    more = self.items[up] | {item}
+                    self.items[up] = sets.setdefault(more, more)
                     up = self.link[up]
             if len(sequence) < window:
-                self.whole[state].append((len(sequence), item))
+                self.whole[state] = (*self.whole[state], (len(sequence), item))
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
         for state in order:  # a state also ends with what its suffix link ends with
-            self.whole[state] = self.whole[state] + self.whole[self.link[state]]
+            if self.whole[self.link[state]]:
+                self.whole[state] = self.whole[state] + self.whole[self.link[state]]
 
     def stream(self, symbols: list[int], window: int) -> tuple[list[tuple[int, int]], set[str]]:
         """The merged hit ranges of a sequence and the items they are from."""
@@ -211,16 +218,16 @@ def _plans(benchmark: DataFrame, window: int, text: str, item: str, item_bytes:
         yield lambda part=part: Benchmark([(r.i, r.t) for r in part.collect()], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 16 << 20, clean: bool = False, nameless: bool = False) -> DataFrame:
-    """All columns of ``docs`` with ``_words`` (long), ``_spans`` (hit word ranges) and ``_items`` (sorted ids).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item: str = "item_id", item_bytes: int = 1 << 20, clean: bool = False, nameless: bool = False, names: tuple[str, str, str] = ("_words", "_spans", "_items")) -> DataFrame:
+    """All columns of ``docs`` with ``names``: words (long), hit word ranges, items (sorted ids); raises if there are such columns.
 
     With ``clean`` the text comes without the words of its spans. A benchmark of several parts
     passes over the texts that often; each pass is written before the next begins.
     """
     ship(docs.sparkSession)
-    names = docs.columns
-    at = names.index(text)
-    out = docs.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast(SPANS).alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    unclashed(docs, *names)
+    at = docs.columns.index(text)
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast(SPANS).alias(names[1]), F.lit(None).cast("array<string>").alias(names[2]))
     schema = out.schema
     share = docs.sparkSession.sparkContext.broadcast
     found = list(_plans(benchmark, window, item_text, item, item_bytes, nameless))
@@ -258,11 +265,11 @@ def _scanner(shared, at: int, clean: bool):
     return scan
 
 
-def hit_words() -> F.Column:
-    return F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]), F.lit(0).cast("long"))
+def hit_words(spans: str = "_spans") -> F.Column:
+    return F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]), F.lit(0).cast("long"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", **names: str) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Every hit span (a match of at least ``window`` words, or a whole shorter item) is cut out of
@@ -270,10 +277,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_
     altogether. ``n_chars``, if there is such a column, is counted anew for cut texts; other
     columns and untouched documents stay as they are.
     """
-    found = contamination(docs, benchmark, window, text, clean=True, nameless=True, **names)
-    out = found.filter((hit_words() <= F.lit(max_coverage) * F.col("_words")) | F.col("_spans").isNull())
+    words, spans, items = fresh(docs, "_words", "_spans", "_items")
+    found = contamination(docs, benchmark, window, text, clean=True, nameless=True, names=(words, spans, items), **how)
+    out = found.filter((hit_words(spans) <= F.lit(max_coverage) * F.col(words)) | F.col(spans).isNull())
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_spans").isNotNull(), F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+        out = out.withColumn(n_chars, F.when(F.col(spans).isNotNull(), F.char_length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.llm.rows import unclashed
 from coppice.session import cut
 
 #: A document's tokens are its words: runs of anything but space and 0x09-0x0D.
@@ -89,10 +90,19 @@ def mixed(
     key: str = "doc_id",
     bucket_rows: int = 4096,
     broadcast_leaves: int = 20_000,
+    prefix: str = "_",
 ) -> DataFrame:
-    """The selected rows of ``docs`` with ``_l0``.. (the leaf), ``_tokens`` and ``_times`` (how many epochs take the row)."""
+    """The selected rows of ``docs`` with ``_l0``.. (the leaf), ``_tokens`` and ``_times`` (how many epochs take the row).
+
+    ``prefix`` stands for the underscore; raises if the documents have a column of such a name.
+    """
     path = [f"_l{k}" for k in range(len(levels))]
-    named = docs.withColumns({f"_l{k}": F.coalesce(c.cast("string"), F.lit("(null)")) for k, c in enumerate(levels.values())}).withColumn("_tokens", n_tokens(text))
+    outputs = [*path, "_tokens", "_times"]
+    unclashed(docs, *[prefix + c[1:] for c in outputs])
+    # Columns of the documents travel in one struct, out of the way of the names used here.
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    leaf = [F.coalesce(c.cast("string"), F.lit("(null)")).alias(f"_l{k}") for k, c in enumerate(levels.values())]
+    named = docs.select(whole_row, *leaf, n_tokens(text).alias("_tokens"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
     sizes = cut(named.groupBy(*path).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     few = sizes.count() <= broadcast_leaves
     plan = leaf_budgets(sizes, weights, len(levels), budget, max_epochs)
@@ -101,8 +111,8 @@ def mixed(
     digits = F.coalesce(*[F.when(F.col("rows") <= bucket_rows * 16**d, F.lit(d)) for d in BUCKET_DIGITS], F.lit(BUCKET_DIGITS[-1] + 1))
     plan = cut(plan.select(*path, F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), digits.alias("_digits")))
 
-    salt = F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.concat_ws("/", *path), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    order = F.concat(F.md5(salt.cast("binary")), F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))), 16, "0")))
+    salt = F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.concat_ws("/", *path), F.coalesce(F.col("_key").cast("string"), F.lit("")))
+    order = F.concat(F.md5(salt.cast("binary")), F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))), 16, "0")))
     slim = _by_leaf(named, plan, path, few).select(*path, "_rest", "_tokens", order.alias("_order"), F.expr("_digits")).withColumn("_bucket", F.expr("substring(_order, 1, _digits)"))
     upto = Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = slim.groupBy(*path, "_rest", "_bucket").agg(F.sum("_tokens").alias("t")).withColumn("end", F.sum("t").over(upto))
@@ -117,4 +127,4 @@ def mixed(
     plan = cut(plan)
     times = F.least(F.col("_whole") + (order <= F.col("_cutoff")).cast("long"), F.lit(max_epochs))
     out = _by_leaf(named, plan, path, few).withColumn("_times", times.cast("int")).filter("_times > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *path, "_tokens", "_times")
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(prefix + c[1:]) for c in outputs])

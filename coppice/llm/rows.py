@@ -21,6 +21,12 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def unclashed(docs: DataFrame, *names: str) -> None:
+    """Raises if ``docs`` has a column named like an output."""
+    if clash := {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"the documents have columns {sorted(clash)}; name the outputs otherwise")
+
+
 def sortable(docs: DataFrame, key: str) -> F.Column:
     """The id as a value that is never null and sorts as the id does: integers as they are, all else as strings; null last."""
     column = F.col(f"`{key}`")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.ngrams import gram_buckets
+from coppice.llm.rows import unclashed
 from coppice.session import cut, ship
 
 ORDERS = (3, 4, 5)
@@ -156,6 +157,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: s
     return out.mapInArrow(score, out.schema)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 3000, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """All columns of ``docs`` with ``_score``, the probability of class 1."""
-    return scored(docs, fit(labelled_sample(docs, labels, per_class, learn, text, key, label)), text)
+def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 3000, learn: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic", name: str = "_score") -> DataFrame:
+    """All columns of ``docs`` with ``name``, the probability of class 1; raises if there is such a column."""
+    unclashed(docs, name)
+    return scored(docs, fit(labelled_sample(docs, labels, per_class, learn, text, key, label)), text, name)

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coppice.llm.rows import small, unclashed
 from coppice.session import cut
 
 
@@ -140,26 +141,34 @@ def _tree_sql(k: int, splits: dict[int, tuple[str, float]], leaves: dict[int, fl
 
 
 def judged(pages: DataFrame, rules: list[Rule], url: str = "url", rounds: int = 6, depth: int = 3, bins: int = 16, rate: float = 0.4, threshold: float = 0.5, sample_rows: int = 20_000) -> DataFrame:
-    """All columns of ``pages`` with ``_host``, ``_path``, ``_rule``, ``_score`` (of block) and ``_verdict``."""
-    host, path = host_and_path(F.col(url))
-    parted = pages.withColumns({"_host": host, "_path": path})
+    """All columns of ``pages`` with ``_host``, ``_path``, ``_rule``, ``_score`` (of block) and ``_verdict``; raises if there are such columns.
+
+    The block rates of suffixes are broadcast while they are proven to take at most 16 MB,
+    else joined; a labelled url's own label is left out of the rate that it is learned with.
+    """
+    unclashed(pages, "_host", "_path", "_rule", "_score", "_verdict")
+    host, path = host_and_path(F.col(f"`{url}`"))
+    # Columns of the pages travel in one struct, out of the way of the names used here.
+    parted = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_page"), F.col(f"`{url}`").alias("url"), host.alias("_host"), path.alias("_path"))
     ruled = parted.withColumn("_found", rule_of(F.col("_host"), F.col("_path"), rules)).withColumn("_suffix", suffix(F.col("_host")))
-    labelled = ruled.filter("_found is not null").select(F.col(url).alias("url"), "_host", "_path", "_suffix", (F.col("_found.verdict") == "block").cast("int").alias("label"))
-    rates = labelled.groupBy("_suffix").agg(((F.sum("label") + 1.0) / (F.count(F.lit(1)) + 2.0)).alias("_rate"))
-    rates = cut(rates)
+    labelled = ruled.filter("_found is not null").select("url", "_host", "_path", "_suffix", (F.col("_found.verdict") == "block").cast("int").alias("label"))
+    rates = cut(labelled.groupBy("_suffix").agg(F.sum("label").alias("_blocked"), F.count(F.lit(1)).alias("_n")))
+    rates_here = F.broadcast(rates) if small(rates, 128) else rates
     sample = labelled.orderBy(F.xxhash64("url"), "url", "label").limit(sample_rows)
     lexicals = lexical(F.col("url"), F.col("_host"), F.col("_path"))
-    sample = cut(sample.join(rates, "_suffix", "left").select("label", *[c.alias(f) for f, c in lexicals.items()], F.coalesce("_rate", F.lit(0.5)).alias("_suffix_odds")))
+    others = (F.col("_blocked") - F.col("label") + 1.0) / (F.col("_n") - 1 + 2.0)
+    sample = cut(sample.join(rates_here, "_suffix", "left").select("label", *[c.alias(f) for f, c in lexicals.items()], F.coalesce(others, F.lit(0.5)).alias("_suffix_odds")))
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         margin = F.lit(9.0 if set(kinds) == {1} else -9.0)
     else:
         margin = F.expr(" + ".join(fit_trees(sample, FEATURES, rounds, depth, bins, rate)) or "0.0D")
-    named = ruled.join(rates.withColumnRenamed("_rate", "_suffix_rate"), "_suffix", "left")
-    featured = named.withColumns({f: c for f, c in lexical(F.col(url), F.col("_host"), F.col("_path")).items()} | {"_suffix_odds": F.coalesce("_suffix_rate", F.lit(0.5))})
+    named = ruled.join(rates_here, "_suffix", "left")
+    rate_of = (F.col("_blocked") + 1.0) / (F.col("_n") + 2.0)
+    featured = named.withColumns(lexicals | {"_suffix_odds": F.coalesce(rate_of, F.lit(0.5))})
     scored = featured.withColumn("_score", 1.0 / (1.0 + F.exp(-margin)))
     verdict = F.coalesce(F.col("_found.verdict"), F.when(F.col("_score") >= threshold, "block").otherwise("allow"))
-    kept = [F.col(f"`{c}`") for c in pages.columns]
+    kept = [F.col("_page").getField(c).alias(c) for c in pages.columns]
     return scored.select(*kept, "_host", "_path", F.col("_found.name").alias("_rule"), "_score", verdict.alias("_verdict"))
 
 
