@@ -11,10 +11,12 @@ out as one segment of text:
 
 1. Each block of documents tells each anchor's shard the content hashes of its runs, once
    for every content (the copies within a block are known there).
-2. The shard answers which contents have been seen in a smaller document (all their windows
-   are covered), and which share their anchor with other contents.
-3. The blocks send the words of the latter to the shard. Anchors with over ``hot_contents``
-   contents are dealt out window by window, by the window's own hash.
+2. The shard answers whose first copy of a content is to be searched: those that occur again,
+   here or in another block, and those that share their anchor with other contents.
+3. The blocks send the words of these to the shard, and of a content that occurs again one
+   more copy, so that the index finds the repeat; what it finds of that copy holds for all
+   further ones. Anchors with over ``hot_contents`` contents are dealt out window by window, by
+   the window's own hash.
 4. The shard builds a compressed FM-index of its segments in document order and streams
    them through it: matching statistics by backward search on the wavelet matrix. Where a
    match reaches the threshold and its earliest place lies before the streamed one, the
@@ -43,7 +45,8 @@ from coppice.llm.bytescan import BLANK, range_hashes, sequence_hashes, slices, s
 from coppice.llm.fmindex import FMIndex
 from coppice.session import ship
 
-LAST, CHECK, HOT = 1, 2, 4  # content codes: seen before, shares its anchor, dealt by window
+#: Content codes: as the copy that is searched, searched, dealt by window, searched with the block's next copy.
+LAST, CHECK, HOT, TWICE = 1, 2, 4, 8
 MAX_RUN = 64
 
 
@@ -98,6 +101,13 @@ class Block:
         self.is_first = np.zeros(len(self.row), bool)
         self.is_first[first] = True
         self.first = first
+        # The second copy of each content that the block has more than once.
+        many = np.bincount(self.which, minlength=len(self.contents))
+        by_content = np.argsort(self.which, kind="stable")
+        again = (np.cumsum(many) - many)[many > 1] + 1
+        self.repeats = many > 1
+        self.is_second = np.zeros(len(self.row), bool)
+        self.is_second[by_content[again]] = True
 
 
 BLANK_NOT = ~BLANK
@@ -139,7 +149,7 @@ def _announce(shards: int, window: int, gram: int):
         pick = [f[order[cuts[s] : cuts[s + 1]]] for s in range(shards)]
         used = [s for s in range(shards) if len(pick[s])]
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
-        columns = [[_blob(a[pick[s]]) for s in used] for a in (b.anchor, b.content, doc[b.row] if len(b.row) else b.row, b.loops.astype(np.uint8))]
+        columns = [[_blob(a[pick[s]]) for s in used] for a in (b.anchor, b.content, doc[b.row] if len(b.row) else b.row, b.loops.astype(np.uint8) | (b.repeats[b.which].astype(np.uint8) << 1))]
         return pa.table([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "block", "anchors", "contents", "docs", "loops"])
 
     return announce
@@ -158,8 +168,12 @@ def _answer(hot_contents: int):
         head[1:] = (contents[1:] != contents[:-1]) | (anchors[1:] != anchors[:-1])
         _, group = np.unique(anchors, return_inverse=True)
         n_contents = np.bincount(group, head)[group] if len(group) else np.zeros(0)
-        code = np.where(head, 0, LAST) | np.where((n_contents > 1) | (loops > 0), CHECK, 0) | np.where(n_contents > hot_contents, HOT, 0)
-        code = np.where(code & LAST, LAST, code).astype(np.uint8)
+        hot, here = n_contents > hot_contents, loops & 2 > 0  # ``here``: the first block of a content has it again
+        more = np.append(~head[1:], False) if len(head) else head
+        next_ = np.zeros(len(order), bool)  # else the next block's first copy is searched as well
+        next_[1:] = head[:-1] & ~here[:-1] & ~head[1:] & ~hot[1:]
+        code = np.where(head, 0, LAST) | np.where((n_contents > 1) | (loops & 1 > 0) | here | more, CHECK, 0) | np.where(hot, HOT, 0) | np.where(head & here & ~hot, TWICE, 0)
+        code = np.where(next_, CHECK, np.where(code & LAST, LAST, code)).astype(np.uint8)
         tell = np.flatnonzero(code)
         tell = tell[np.argsort(origin[tell], kind="stable")]
         blocks, at = np.unique(origin[tell], return_index=True)
@@ -207,6 +221,11 @@ def _hot_windows(b: Block, codes: np.ndarray) -> tuple[tuple[np.ndarray, ...], n
     return w, first
 
 
+def _searched(b: Block, codes: np.ndarray) -> np.ndarray:
+    """Which runs go to the index."""
+    return (codes & HOT == 0) & (b.is_first & (codes & CHECK > 0) | b.is_second & (codes & TWICE > 0))
+
+
 def _send(shards: int, window: int, gram: int):
     """Step 3: the words of a block's segments for each shard."""
 
@@ -218,7 +237,7 @@ def _send(shards: int, window: int, gram: int):
         docs = _in_order(docs)
         b = Block(docs.column("text"), window, gram)
         codes = _codes(b, answers)
-        cold = np.flatnonzero(b.is_first & (codes & CHECK > 0) & (codes & HOT == 0))
+        cold = np.flatnonzero(_searched(b, codes))
         w, first = _hot_windows(b, codes)
         row = np.concatenate((b.row[cold], w[0][first]))
         start = np.concatenate((b.start[cold], w[1][first]))
@@ -292,7 +311,7 @@ def _covered(b: Block, answers: pa.Table) -> np.ndarray:
     """Which words of a block (in order) are covered."""
     codes = _codes(b, answers)
     base = np.cumsum(b.n_words) - b.n_words
-    whole = np.flatnonzero(~b.is_first | (codes & LAST > 0))
+    whole = np.flatnonzero((~b.is_first | (codes & LAST > 0)) & ~_searched(b, codes))
     w, first = _hot_windows(b, codes)
     ords, froms, tos = (_joined(answers.column(c), np.int32) for c in ("ords", "froms", "tos"))
     starts = np.concatenate((base[b.row[whole]] + b.start[whole], base[w[0][~first]] + w[1][~first], base[ords] + froms))
