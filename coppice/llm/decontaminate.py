@@ -8,8 +8,8 @@ item with fewer words, but not none, is one window of its own length. Words outs
 items' vocabulary send the automaton to its root, so only runs of known words are streamed.
 
 The automaton is built on the driver and shipped only while the items' text is within
-``item_bytes``: a state takes some 500 bytes and a word of five letters makes at most two states, so 1 MB
-of items makes an object of at most some 200 MB in each process. A larger benchmark is cut
+``item_bytes``: 1 MB of items made an object of some 160 MB in each process (190,000 states),
+of 450 MB where all words have one letter (730,000). A larger benchmark is cut
 into parts below that bound, and each part passes over the texts in turn, row by row, adding
 to what the parts before it found.
 
@@ -36,6 +36,9 @@ SPANS = "array<struct<start:int,stop:int>>"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+_NEW = object()
+
+
 class SuffixAutomaton:
     """All substrings of several sequences; a state stands for those that end at the same places."""
 
@@ -43,8 +46,8 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.items: list[set[str] | tuple[()]] = [()]
-        self.whole: list[list[tuple[int, str]] | tuple[()]] = [()]
+        self.items: dict[int, set[str] | str] = {}
+        self.whole: list[tuple[tuple[int, str], ...]] = [()]
 
     def _state(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
@@ -80,19 +83,23 @@ class SuffixAutomaton:
             last = new
 
     def mark(self, sequences: list[tuple[str, list[int]]], window: int) -> None:
-        """Notes which items have each state's strings, and where short items end."""
-        # Sets of items are shared: the states of one item have one set between them.
-        sets: dict[frozenset, frozenset] = {}
-        self.items = [frozenset()] * len(self.next)
-        self.whole = [()] * len(self.next)
+        """Notes which items have each state's strings of ``window`` symbols or more, and where short items end."""
+        self.items, self.whole = {}, [()] * len(self.next)
         for item, sequence in sequences:
             state = 0
             for symbol in sequence:
                 state = self.next[state][symbol]
                 up = state
-                while up > 0 and item not in self.items[up]:
-                    more = self.items[up] | {item}
-                    self.items[up] = sets.setdefault(more, more)
+                while up > 0 and self.length[up] >= window:
+                    held = self.items.setdefault(up, _NEW)
+                    if held is _NEW:
+                        self.items[up] = item
+                    elif held == item or isinstance(held, set) and item in held:
+                        break  # this item has been here, and so further up
+                    elif isinstance(held, set):
+                        held.add(item)
+                    else:
+                        self.items[up] = {held, item}
                     up = self.link[up]
             if len(sequence) < window:
                 self.whole[state] = (*self.whole[state], (len(sequence), item))
@@ -130,7 +137,8 @@ class SuffixAutomaton:
                 up = state
                 while lengths[link[up]] >= window:
                     up = link[up]
-                found |= self.items[up]
+                held = self.items[up]
+                found.update(held) if isinstance(held, set) else found.add(held)
         return spans, found
 
 
@@ -145,7 +153,8 @@ class Benchmark:
         starts, ends, rows = word_bounds(data, offsets, ALNUM)
         hashes = span_hashes(data, starts, ends)
         self.vocabulary, numbers = np.unique(hashes, return_inverse=True)
-        sequences = [(items[r][0], numbers[rows == r].tolist()) for r in np.unique(rows)]
+        some, heads = np.unique(rows, return_index=True)
+        sequences = [(items[r][0], own.tolist()) for r, own in zip(some.tolist(), np.split(numbers, heads[1:]))]
         self.automaton = SuffixAutomaton()
         for _, sequence in sequences:
             self.automaton.add(sequence)

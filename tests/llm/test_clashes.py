@@ -1,5 +1,10 @@
 """Columns named as those that operators use inside, ids of any type, very long and repeated rows."""
 
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +90,53 @@ def test_parts_of_a_benchmark_are_bounded_and_give_one_result(spark):
     bench = spark.createDataFrame(items, "item_id string, text string")
     whole, parts = ({r.doc_id: (r._words, r._spans, r._items) for r in decontaminate.contamination(docs, bench, item_bytes=b).collect()} for b in (1 << 20, 3_000))
     assert whole == parts and all(len(v[2]) in (1, 2) for v in whole.values())
+
+
+def test_trees_are_those_of_a_plain_fit(spark):
+    """Boosting in plain Python, row by row, on the same cuts gives the same scores."""
+    rng = random.Random(4)
+    rows = [(int(a + b / 2 + rng.gauss(0, 1) > 3), float(a), float(b)) for a, b in ((rng.randint(0, 5), rng.randint(0, 3)) for _ in range(300))]
+    sample = spark.createDataFrame(rows, "label int, fa double, fb double").cache()
+    features, rounds, depth, bins, rate = ("fa", "fb"), 3, 2, 4, 0.5
+    sql = url_filter.fit_trees(sample, features, rounds, depth, bins, rate)
+    got = {(r.fa, r.fb): r.m for r in sample.select("fa", "fb", F.expr(" + ".join(sql)).alias("m")).collect()}
+    cuts = {f: sorted(set(sample.approxQuantile(f, [k / bins for k in range(1, bins)], 0.005))) for f in features}
+    margin = [0.0] * len(rows)
+
+    def grow(members, g, h, level, step):
+        total = sum(g[i] for i in members), sum(h[i] for i in members)
+        value = lambda s: s[0] ** 2 / (s[1] + 1)
+        best = (1e-6, "", 0.0)
+        for at, f in enumerate(features, 1):
+            for c in cuts[f]:
+                low = [i for i in members if rows[i][at] <= c]
+                left = sum(g[i] for i in low), sum(h[i] for i in low)
+                right = total[0] - left[0], total[1] - left[1]
+                if left[1] >= 1 and right[1] >= 1:
+                    best = max(best, (round(value(left) + value(right) - value(total), 9), f, c))
+        if level == depth or not best[1]:
+            for i in members:
+                step[i] = rate * total[0] / (total[1] + 1)
+            return
+        at = 1 + features.index(best[1])
+        grow([i for i in members if rows[i][at] <= best[2]], g, h, level + 1, step)
+        grow([i for i in members if rows[i][at] > best[2]], g, h, level + 1, step)
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        step = [0.0] * len(rows)
+        grow(range(len(rows)), [r[0] - q for r, q in zip(rows, p)], [q * (1 - q) for q in p], 0, step)
+        margin = [m + s for m, s in zip(margin, step)]
+    assert len(got) == len({r[1:] for r in rows}) and all(math.isclose(got[r[1:]], m, abs_tol=1e-6) for r, m in zip(rows, margin))
+
+
+def test_scores_are_those_of_the_words_weights(spark):
+    """A score is the logistic function of the intercept and the weights of the n-grams that a text has, each once."""
+    docs = spark.createDataFrame([(0, None), (1, ""), (2, "abc abc"), (3, "xyz " * 5_000)], "doc_id long, text string")
+    buckets = np.arange(0, 1 << toxicity.BITS, 97)
+    weights = np.sin(np.arange(len(buckets)))
+    got = {r.doc_id: r._score for r in toxicity.scored(docs, (buckets, weights, -0.25)).collect()}
+    table = dict(zip(buckets.tolist(), weights.tolist()))
+    for r in docs.collect():
+        seen = {int(b) for _, found in toxicity.presence(pa.array([r.text or ""])) for b in found}
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(0.25 - sum(table.get(b, 0.0) for b in seen))), rel_tol=1e-9)

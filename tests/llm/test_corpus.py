@@ -404,14 +404,77 @@ def test_model_is_normalised(spark):
         assert sum(10**s for s in first.values()) < 1 and all(both[1000 + k] == pytest.approx(first[x], rel=0.2) for k, x in enumerate(["", *words]))
 
 
+def test_scores_do_not_hang_on_blocks_and_shards(unique_docs):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    one, other = ({r.doc_id: r.score for r in pitman_yor.model_scores(unique_docs, held, blocks=b, shards=s).collect()} for b, s in ((2, 2), (7, 16)))
+    assert one.keys() == other.keys() and all(math.isclose(one[k], other[k], rel_tol=1e-5) for k in one)
+
+
+def test_scores_are_those_of_a_plain_sampler(spark):
+    """The same seating in plain Python, one customer at a time; the sum over all next words is one."""
+    from coppice.llm.bytescan import mix, span_hashes
+
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(9)]
+    train = [(k, " ".join(rng.choices(words, weights=range(9, 0, -1), k=rng.randint(0, 12)))) for k in range(40)]
+    held = [(1000, "v0 v1 v8"), (1001, "v3 zz v0"), (1002, "")]
+    docs = spark.createDataFrame(train + held, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.model_scores(docs, F.col("doc_id") >= 1000, strength=0.7, discount=0.5, parent_discount=0.4, burn_in=1, sweeps=2, seed=5).collect()}
+
+    def hash_of(w):
+        return pitman_yor.END if w == "<end>" else pitman_yor.BEGIN if w == "<begin>" else span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0]
+
+    def chain(text):
+        row = ["<begin>", *text.split(), "<end>"]
+        return list(zip(row, row[1:]))
+
+    pairs = Counter(p for _, t in train for p in chain(t))
+    followers = Counter(w for _, w in pairs)
+    types = len(followers)
+
+    def seated(count, pull, d, key, salt):
+        draw, tables = pitman_yor.drawn(np.array([key], np.uint64), salt), 1
+        for n in range(1, count):
+            tables += bool(draw(np.array([0]), n)[0] * (n - d * tables + pull) < pull)
+        return tables
+
+    mean = {w: sum(seated(c, (0.7 + 0.4 * types) / (types + 1), 0.4, hash_of(w), 5 + k) for k in range(2)) / 2 for w, c in followers.items()}
+    customers, free = sum(followers.values()), 0.4 * sum(mean.values())
+    parent = lambda w: ((followers[w] - 0.4 * mean[w] if w in followers else 0) + (0.7 + free) / (types + 1)) / (0.7 + customers)
+    assert math.isclose(sum(map(parent, followers)) + parent("never"), 1, rel_tol=1e-9)
+    tables, averaged = {p: 1 for p in pairs}, Counter()
+    for k in range(3):
+        total = Counter()
+        for (u, _), t in tables.items():
+            total[u] += t
+        tables = {(u, w): seated(c, (0.7 + 0.5 * total[u]) * parent(w), 0.5, (int(hash_of(u)) & 0xFFFFFFFF) << 16 | int(hash_of(w)) >> 48, 1005 + k) for (u, w), c in pairs.items()}
+        if k >= 1:
+            averaged.update({p: t / 2 for p, t in tables.items()})
+    size, given = Counter(), Counter()
+    for (u, w), c in pairs.items():
+        size[u] += c
+        given[u] += 0.5 * averaged[u, w]
+
+    def probability(u, w):
+        if not size[u]:
+            return parent(w)
+        own = pairs[u, w] - 0.5 * averaged[u, w] if (u, w) in pairs else 0
+        return (own + (0.7 + given[u]) * parent(w)) / (0.7 + size[u])
+
+    for u in size:
+        assert math.isclose(sum(probability(u, w) for w in [*followers, "never"]), 1, rel_tol=1e-9)
+    for d, t in train + held:
+        assert math.isclose(got[d], sum(math.log10(probability(*p)) for p in chain(t)), rel_tol=1e-5)
+
+
 def test_seating():
-    rng = np.random.default_rng(0)
     counts = np.full(4000, 300)
+    draw = pitman_yor.drawn(np.arange(4000, dtype=np.uint64), 1)
     for pull in (0.5, 8.0):
-        quick = pitman_yor.seat(counts, np.full(4000, pull), 0.6, rng, exact=16).mean()
-        slow = pitman_yor.seat(counts, np.full(4000, pull), 0.6, rng, exact=300).mean()
+        quick = pitman_yor.seat(counts, np.full(4000, pull), 0.6, draw, exact=16).mean()
+        slow = pitman_yor.seat(counts, np.full(4000, pull), 0.6, pitman_yor.drawn(np.arange(4000, dtype=np.uint64), 2), exact=300).mean()
         assert abs(quick - slow) / slow < 0.05
-    assert pitman_yor.seat(np.array([0, 1, 2]), np.ones(3), 0.5, rng)[:2].tolist() == [0, 1]
+    assert pitman_yor.seat(np.array([0, 1, 2]), np.ones(3), 0.5, draw)[:2].tolist() == [0, 1]
 
 
 def test_budgets_fill_siblings_before_ancestors(spark):
