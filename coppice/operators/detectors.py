@@ -10,6 +10,8 @@ Relations (columns that a detector does not name are free):
 ``elements``  the nodes relation with path
 ``lists``     path, line, items array (keyword lists, attribute orders)
 
+What a rule needs is a relation, or a column beyond these (``clauses.kind``); without it the rule is left out.
+
 Gates are evaluated in a stated order and the first that fails is the reason; ambiguity
 declines. Groups meet by equality of hashes and names only; no two sites are compared
 pair by pair.
@@ -88,14 +90,14 @@ def extract_intra_module_clone(r, o):
     return _clones(r["clauses"], "ExtractIntraModuleClone", "intra_module_clone", ["module", "arity", "body_hash"], [_mass(o, 20)])
 
 
-@detector("ExtractInlineBlock", "clauses")
+@detector("ExtractInlineBlock", "clauses.kind")
 def extract_inline_block(r, o):
-    return _clones(r["clauses"].filter("kind = 'block'") if "kind" in r["clauses"].columns else r["clauses"].limit(0), "ExtractInlineBlock", "inline_block", ["module", "body_hash"], [_mass(o, 20)])
+    return _clones(r["clauses"].filter("kind = 'block'"), "ExtractInlineBlock", "inline_block", ["module", "body_hash"], [_mass(o, 20)])
 
 
-@detector("ExtractLambdaBlock", "clauses")
+@detector("ExtractLambdaBlock", "clauses.kind")
 def extract_lambda_block(r, o):
-    return _clones(r["clauses"].filter("kind = 'lambda'") if "kind" in r["clauses"].columns else r["clauses"].limit(0), "ExtractLambdaBlock", "lambda_block", ["module", "body_hash"], [_mass(o, 20)])
+    return _clones(r["clauses"].filter("kind = 'lambda'"), "ExtractLambdaBlock", "lambda_block", ["module", "body_hash"], [_mass(o, 20)])
 
 
 @detector("PromoteRepeatedPrivateHelpers", "clauses", enabled=False)
@@ -124,11 +126,9 @@ def consolidate_parallel(r, o):
     return _clones(r["clauses"], "ConsolidateParallelClauseFunctions", "parallel_functions", ["module", "arity", "skeleton_hash"], gates, one_apart)
 
 
-@detector("MergeClausesIntoCondOrGuard", "clauses")
+@detector("MergeClausesIntoCondOrGuard", "clauses.head", "clauses.guard")
 def merge_clauses(r, o):
-    same = r["clauses"].groupBy("path", "module", "name", "arity").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"), F.countDistinct("head").alias("heads"), F.bool_or(F.col("guard") == "").alias("total")) if {"head", "guard"} <= set(r["clauses"].columns) else None
-    if same is None:
-        return findings(r["clauses"].limit(0), "MergeClausesIntoCondOrGuard", "guard_clauses")
+    same = r["clauses"].groupBy("path", "module", "name", "arity").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"), F.countDistinct("head").alias("heads"), F.bool_or(F.col("guard") == "").alias("total"))
     gates = [(F.col("heads") > 1, "heads_differ"), (~F.col("total"), "no_fallback")]
     return findings(same.filter("n > 1"), "MergeClausesIntoCondOrGuard", "guard_clauses", first_decline(gates), {"n": F.col("n")}, module="module", function="name", arity="arity")
 
@@ -203,20 +203,16 @@ def split_flag_argument(r, o):
     return findings(groups, "SplitFlagArgument", "flag_argument", first_decline(gates), {"kinds": F.col("kinds")}, module="module", function="callee")
 
 
-@detector("RelocateMisplacedFunction", "calls", priority=40, enabled=False)
+@detector("RelocateMisplacedFunction", "calls.target", priority=40, enabled=False)
 def relocate_misplaced_function(r, o):
     """The module that a function calls into most, its own left out."""
-    if "target" not in r["calls"].columns:
-        return findings(r["calls"].limit(0), "RelocateMisplacedFunction", "feature_envy")
     uses = r["calls"].filter("target is not null and target <> module").withColumn("owner", F.concat_ws("#", "module", "caller"))
     rows = M.envy(uses, "owner", "target", o.get("refs", 2)).withColumns({"module": F.split_part("owner", F.lit("#"), F.lit(1)), "function": F.split_part("owner", F.lit("#"), F.lit(2))})
     return findings(rows, "RelocateMisplacedFunction", "feature_envy", F.col("decline"), {"target": F.col("target"), "n": F.col("n")}, module="module", function="function")
 
 
-@detector("IntroduceContextObjectForParameterTrain", "clauses", enabled=False)
+@detector("IntroduceContextObjectForParameterTrain", "clauses.params", enabled=False)
 def parameter_train(r, o):
-    if "params" not in r["clauses"].columns:
-        return findings(r["clauses"].limit(0), "IntroduceContextObjectForParameterTrain", "parameter_train")
     rows = M.parameter_trains(r["clauses"].withColumn("params", F.array_sort("params")), "name", "params", o.get("least", 3))
     return findings(rows, "IntroduceContextObjectForParameterTrain", "parameter_train", evidence={"params": F.array_join("params", ","), "score": F.col("score")})
 
@@ -233,10 +229,8 @@ def adapter_family(r, o):
     return findings(rows, "ExtractBehaviourFromAdapterFamily", "adapter_family", evidence={"a": F.col("a"), "b": F.col("b"), "shared": F.col("shared"), "jaccard": F.col("jaccard"), "score": F.col("score")})
 
 
-@detector("ExtractProtocolFromStructFamily", "clauses")
+@detector("ExtractProtocolFromStructFamily", "clauses.struct")
 def struct_family(r, o):
-    if "struct" not in r["clauses"].columns:
-        return findings(r["clauses"].limit(0), "ExtractProtocolFromStructFamily", "struct_family")
     rows = r["clauses"].filter("struct is not null").groupBy("name", "arity").agg(F.countDistinct("struct").alias("structs"), F.min("path").alias("path"), F.min("line").alias("line")).filter("structs > 1")
     return findings(rows, "ExtractProtocolFromStructFamily", "struct_family", first_decline([(F.col("structs") < o.get("least", 3), "too_few")]), {"structs": F.col("structs")}, function="name", arity="arity")
 
@@ -252,10 +246,8 @@ def primitive_shape(r, o):
     return findings(rows, "ExtractPrimitiveToStruct", "primitive_shape", first_decline(gates), {"size": F.col("size"), "n": F.col("n")})
 
 
-@detector("InlineDefdelegate", "clauses", "calls", priority=40, enabled=False)
+@detector("InlineDefdelegate", "clauses.delegate", "calls", priority=40, enabled=False)
 def inline_delegate(r, o):
-    if "delegate" not in r["clauses"].columns:
-        return findings(r["clauses"].limit(0), "InlineDefdelegate", "delegate")
     uses = r["calls"].groupBy(F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("uses"))
     rows = r["clauses"].filter("delegate is not null").join(uses, "name", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     return findings(rows, "InlineDefdelegate", "delegate", evidence={"target": F.col("delegate"), "uses": F.col("uses")}, module="module", function="name", arity="arity")
@@ -368,10 +360,8 @@ def extract_nested_block(r, o):
     return findings(rows, "ExtractNestedBlock", "nested_block", evidence={"depth": F.col("depth")})
 
 
-@detector("ExtractPipelineToFunction", "segments")
+@detector("ExtractPipelineToFunction", "segments.stages")
 def extract_pipeline_to_function(r, o):
-    if "stages" not in r["segments"].columns:
-        return findings(r["segments"].limit(0), "ExtractPipelineToFunction", "long_pipeline")
     return findings(r["segments"].filter(F.col("stages") >= o.get("stages", 5)), "ExtractPipelineToFunction", "long_pipeline", evidence={"stages": F.col("stages")})
 
 
@@ -441,10 +431,8 @@ def lift_common_tail(r, o):
     return findings(_shared_ends(r["branches"], True), "LiftCommonTailFromBranches", "shared_tail", evidence={"shared": F.col("shared"), "branches": F.col("branches")})
 
 
-@detector("SinkBindingIntoBranches", "branches")
+@detector("SinkBindingIntoBranches", "branches.reads")
 def sink_binding(r, o):
-    if "reads" not in r["branches"].columns:
-        return findings(r["branches"].limit(0), "SinkBindingIntoBranches", "single_branch_binding")
     rows = r["branches"].select("path", "site", "branch", "line", F.explode("reads").alias("name")).groupBy("path", "site", "name").agg(F.countDistinct("branch").alias("branches"), F.min("line").alias("line")).filter("branches = 1")
     return findings(rows, "SinkBindingIntoBranches", "single_branch_binding", evidence={"name": F.col("name")})
 

@@ -70,11 +70,17 @@ def chosen(only: Iterable[str] = (), skipped: Iterable[str] = (), configured: di
     return sorted(out, key=lambda r: (-configured.get(r.name, {}).get("priority", r.priority), r.name))
 
 
+def lacking(rule: Rule, relations: Relations) -> list[str]:
+    """What a rule needs and the relations do not have: relations, or columns as ``relation.column``."""
+    parts = [(n, *n.partition(".")[::2]) for n in rule.needs]
+    return [n for n, relation, column in parts if relation not in relations or column and column not in relations[relation].columns]
+
+
 def detected(relations: Relations, selection: Sequence[Rule] | None = None, configured: dict[str, dict] | None = None) -> DataFrame:
-    """Findings of all chosen rules whose relations are there, in order."""
-    parts = [r.detect(relations, (configured or {}).get(r.name, {})) for r in (selection if selection is not None else chosen(configured=configured)) if r.detect and all(n in relations for n in r.needs)]
+    """Findings of all chosen rules that lack nothing (``lacking`` says what the others lack), in order."""
+    parts = [r.detect(relations, (configured or {}).get(r.name, {})) for r in (selection if selection is not None else chosen(configured=configured)) if r.detect and not lacking(r, relations)]
     if not parts:
-        raise ValueError("no rule has all the relations that it needs")
+        raise ValueError("no rule has all the relations and columns that it needs")
     return ordered(merged(parts))
 
 

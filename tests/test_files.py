@@ -22,3 +22,25 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["clones", str(tmp_path), "--min-mass", "4"]) == 0
     assert ".html" in capsys.readouterr().out
     assert cli.main(["rules"]) == 0 and "AliasOrder\t100\ton" in capsys.readouterr().out
+
+
+def test_command_line_refactors(spark, tmp_path, capsys):
+    (tmp_path / "a.ex").write_text("Enum.into(xs, %{})\n")
+    (tmp_path / "b.ex").write_text("alias B\nalias A\n")
+    (tmp_path / "c.txt").write_text("Enum.into(xs, %{})\n")
+    run = lambda *a: (cli.main(["refactor", str(tmp_path), "--include", "*.ex", *a]), capsys.readouterr().out)
+    assert run("--only", "NoSuchRule")[0] == 2
+    code, out = run("--check")
+    assert code == 1 and "would change\ta.ex\tEnumIntoToMapNew" in out and (tmp_path / "a.ex").read_text() == "Enum.into(xs, %{})\n"
+    code, out = run("--exclude", "AliasOrder")
+    assert code == 0 and (tmp_path / "a.ex").read_text() == "Map.new(xs)\n" and (tmp_path / "b.ex").read_text() == "alias B\nalias A\n"
+    assert run("--dry-run", "--only", "AliasOrder") == (0, "would change\tb.ex\tAliasOrder\n1 files would change\n")
+    run()
+    assert (tmp_path / "b.ex").read_text() == "alias A\nalias B\n" and (tmp_path / "c.txt").read_text() == "Enum.into(xs, %{})\n" and run("--check")[0] == 0
+
+
+def test_command_line_detects(spark, tmp_path, capsys):
+    (tmp_path / "a.ex").write_text("  defp is_ok(x), do: x\nx = 1\n")
+    assert cli.main(["refactor", str(tmp_path), "--detect", "--only", "BooleanFunctionQuestionMark", "--only", "SortKeywords"]) == 0
+    out = capsys.readouterr().out
+    assert "left out: SortKeywords needs lists" in out and "BooleanFunctionQuestionMark\ta.ex:1" in out

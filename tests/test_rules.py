@@ -307,6 +307,14 @@ def test_detect_needs_its_relations(code):
     assert {"DelegateExactDuplicates", "ExtractMagicNumber", "UnusedVariable"} <= kinds
 
 
+def test_rules_say_what_they_lack(code):
+    rule = {r.name: r for r in engine.rules()}
+    assert engine.lacking(rule["ExtractInlineBlock"], code) == ["clauses.kind"] and engine.lacking(rule["SortKeywords"], {}) == ["lists"]
+    with pytest.raises(ValueError):
+        engine.detected(code, [rule["ExtractInlineBlock"]])
+    assert engine.lacking(rule["ExtractInlineBlock"], {"clauses": code["clauses"].withColumn("kind", F.lit("block"))}) == []
+
+
 def test_findings_see_all_literals(spark, tmp_path):
     """Texts of one skeleton that differ after the eighth literal have holes there."""
     from coppice.plans.rules import relations
