@@ -345,14 +345,14 @@ def _digest(window: int, gram: int):
 def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 6, text: str = "text", key: str = "doc_id", blocks: int | None = None, shards: int | None = None, hot_contents: int = 20_000) -> DataFrame:
     """``key``, n_words, n_removed and kept_sha256 of every row of ``docs``.
 
-    ``key`` must be an integer column. ``blocks`` and ``shards`` default to 4 and 1 times the
+    ``key`` must be an integer column. ``blocks`` and ``shards`` default to the
     session's shuffle partitions; both must grow with the input, so that one of them fits
     into a task's memory.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks, n_shards = blocks or 4 * parts, shards or parts
+    n_blocks, n_shards = blocks or parts, shards or parts
     own = docs.select(
         F.col(key).cast("long").alias("id"),
         F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc"),
