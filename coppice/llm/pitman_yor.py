@@ -24,10 +24,13 @@ Random numbers hang on the pair of words (or the word, in the parent), the sweep
 customer alone, and discounts are parameters, so scores do not depend on the number of blocks
 and shards, but for contexts that are split.
 
-The parallel seating is approximate where shards would have to wait for each other: the
-parent is seated once, on a table for each dish of each context (where its own total of
-tables would be needed, the number of distinct words stands for it), and not again after the
-contexts.
+Sampling begins with a table for each dish of each context, and the parent is seated on these
+(where its own total of tables would be needed, the number of distinct words stands for it).
+With ``reseat``, each sweep seats the contexts against the parent and then the parent anew, on the
+tables that the contexts now have; the predictive probabilities of each state (contexts, and
+the parent seated on them) are averaged. The shards' states travel with the messages: what a
+context shard holds passes through the word shard of its number, and the other way round.
+Without it the parent stays as it is first seated, averaged over as many seatings as sweeps.
 
 Defined results: a null or empty text has one token, its end; rows that share an id are
 scored each; without training texts every word is unknown with probability one over one.
@@ -49,11 +52,14 @@ U32, U64 = np.uint32, np.uint64
 END, BEGIN = U64(0x0E4D), U64(0xBE61)  # stand for the end of a text and the context of its first word
 NOT_BLANK = ~BLANK
 
+#: Blocks and shards are no more than one for so many bytes of text, as messages are one for each pair of them.
+BLOCK_BYTES = 8 << 20
+
 #: What blocks and shards tell each other: four binary columns and two numbers.
 MESSAGE = "dest int, kind int, src int, a binary, b binary, c binary, d binary, x double, y double"
 _NAMES = ["dest", "kind", "src", "a", "b", "c", "d", "x", "y"]
 _KINDS = [pa.int32()] * 3 + [pa.binary()] * 4 + [pa.float64()] * 2
-COUNTS, NUMBERS, PAIRS, TABLES, PARENT, SEATS = range(6)
+COUNTS, NUMBERS, PAIRS, TABLES, PARENT, SEATS, STATE, SEATED = range(8)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -65,12 +71,19 @@ def _blob(a: np.ndarray, kind: type) -> bytes:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """32-bit numbers by byte: all lowest bytes first; small numbers then compress well in a shuffle."""
-    return np.ascontiguousarray(a.astype("<u4", copy=False)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit numbers by byte: how many bytes each needs, then all lowest bytes first; small numbers then compress well in a shuffle."""
+    wide = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    raw = np.ascontiguousarray(a.astype("<u4", copy=False)).view(np.uint8).reshape(-1, 4)
+    return bytes([wide]) + raw[:, :wide].T.tobytes()
 
 
 def _unplaned(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    if not len(blob):
+        return np.zeros(0, U32)
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1) if len(blob) > 1 else np.zeros((1, 0), np.uint8)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u4").ravel()
 
 
 def _numbers(rows: pa.Table, name: str) -> list[np.ndarray]:
@@ -287,9 +300,9 @@ class Restaurants:
         self.asked, seeds = [], []
         for runs, blob in zip(_numbers(told, "b"), _each(told, "c", np.uint8)):
             u, n, seed = runs.reshape(3, -1)
-            k = len(blob) // 6  # four bytes of the word's number, two of its seed
-            self.asked.append(np.repeat(u, n).astype(U64) << U64(32) | _unplaned(blob[: 4 * k].tobytes()))
-            seeds.append(np.repeat(seed, n).astype(U64) << U64(16) | np.frombuffer(blob[4 * k :].tobytes(), "<u2"))
+            k = (len(blob) - 1) // (int(blob[0]) + 2)  # the bytes of the word's number, two of its seed
+            self.asked.append(np.repeat(u, n).astype(U64) << U64(32) | _unplaned(blob[: len(blob) - 2 * k].tobytes()))
+            seeds.append(np.repeat(seed, n).astype(U64) << U64(16) | np.frombuffer(blob[len(blob) - 2 * k :].tobytes(), "<u2"))
         keys, times = np.concatenate(self.asked), _all_numbers(told, "d")
         self.types = float(np.max(told.column("x").to_numpy(), initial=0.0))
         seen = times > 0
@@ -297,18 +310,41 @@ class Restaurants:
         self.seeds = np.concatenate(seeds)[seen][first]
         self.counts = np.bincount(which, times[seen], minlength=len(self.keys)).astype(np.int64)
         self.context, self.of = np.unique(self.keys >> U64(32), return_inverse=True)
-        words, self.word = np.unique(self.keys & U64(0xFFFFFFFF), return_inverse=True)
-        order = np.argsort(words % U64(shards), kind="stable")
+        self.shards = shards
+        word = (self.keys & U64(0xFFFFFFFF)).astype(np.int64)
+        self.many = np.flatnonzero(self.counts > 1)
+        self.words, self.cuts, self.word = self._words(word[self.many])
+        self.lone = word[self.counts == 1]
+
+    def _words(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words by word shard, then number; the cuts between shards; and the place of each."""
+        words, which = np.unique(word, return_inverse=True)
+        order = np.argsort(words % self.shards, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.words, self.word = words[order].astype(np.int64), place[self.word]  # by word shard, then number
-        self.cuts = np.searchsorted(self.words % shards, np.arange(shards + 1))
-        self.many = np.flatnonzero(self.counts > 1)
+        return words[order], np.searchsorted(words[order] % self.shards, np.arange(self.shards + 1)), place[which]
+
+    def totals(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, tables, minlength=len(self.context)).astype(np.int64)
+
+    def told(self, shard: int, tables: np.ndarray, total: float, lone: bool = False) -> list[tuple]:
+        """Messages to the word shards: the tables of words with pairs that repeat, the number of distinct words and the parent's total of tables.
+
+        A pair that occurs once has one table for good; ``lone`` tells of these as well.
+        """
+        sums = np.bincount(self.word, tables[self.many], minlength=len(self.words))
+        bounds = lambda cuts: zip(cuts[:-1].tolist(), cuts[1:].tolist())
+        seated = [(_planes(self.words[i:j] // self.shards), _planes(sums[i:j])) for i, j in bounds(self.cuts)]
+        once = [(None, None)] * self.shards
+        if lone:
+            words, cuts, place = self._words(self.lone)
+            times = np.bincount(place, minlength=len(words))
+            once = [(_planes(words[i:j] // self.shards), _planes(times[i:j])) for i, j in bounds(cuts)]
+        return [(s, TABLES, shard, *x, *y, self.types, total) for s, (x, y) in enumerate(zip(seated, once))]
 
     def sweep(self, tables: np.ndarray, parent: np.ndarray, strength: float, discount: float, salt: int) -> np.ndarray:
         """All dishes seated anew against the tables of the sweep before."""
-        total = np.bincount(self.of, tables, minlength=len(self.context))
-        pull = (strength + discount * total)[self.of[self.many]] * parent[self.word[self.many]]
+        pull = (strength + discount * self.totals(tables))[self.of[self.many]] * parent[self.word]
         fresh = np.minimum(self.counts, 1)
         fresh[self.many] = seat(self.counts[self.many], pull, discount, drawn(self.seeds[self.many], salt))
         return fresh
@@ -319,74 +355,132 @@ def _tell_tables(shards: int):
 
     def tell(told: pa.Table) -> pa.Table:
         shard, r = told.column("dest")[0].as_py(), Restaurants(_of(told, PAIRS), shards)
-        sums = np.bincount(r.word, np.minimum(r.counts, 1), minlength=len(r.words))
-        return _messages([(s, TABLES, shard, _planes(r.words[i:j] // shards), _planes(sums[i:j]), None, None, r.types, 0.0) for s, (i, j) in enumerate(zip(r.cuts[:-1].tolist(), r.cuts[1:].tolist()))])
+        return _messages(r.told(shard, np.minimum(r.counts, 1), r.types, lone=True))
 
     return tell
 
 
-def _seat_parent(strength: float, discount: float, seed: int, sweeps: int, to_blocks: bool):
-    def seat_parent(told: pa.Table, tables: pa.Table) -> pa.Table:
+def _passed(sent: pa.Table, kind: int) -> list[tuple]:
+    """Messages of a kind as they came; they go on to the shard of the same number."""
+    return [tuple(row.values()) for row in _of(sent, kind).select(_NAMES).to_pylist()]
+
+
+def _seat_parent(strength: float, discount: float, seeds: list[int], past: int, keep: bool, to_blocks: bool):
+    """The parent seated on the tables told, once for each seed; ``past`` states of it came along, and it joins them if ``keep``."""
+
+    def seat_parent(told: pa.Table, sent: pa.Table) -> pa.Table:
         if not told.num_rows:
             return _messages([])
         shard, w = told.column("dest")[0].as_py(), Words(_of(told, COUNTS))
-        tables = _of(tables, TABLES)
-        asked = _numbers(tables, "a")
-        customers = np.zeros(len(w.hashes), np.int64)
+        tables = _of(sent, TABLES)
+        came, asked = _of(sent, SEATED), _numbers(tables, "a")
+        lone = np.zeros(len(w.hashes), np.int64)
+        for at, n in [*zip(_numbers(tables, "c"), _numbers(tables, "d")), *((slice(None), n) for n in _numbers(came, "b"))]:
+            lone[at] += n
+        customers = lone.copy()
         for at, n in zip(asked, _numbers(tables, "b")):
             customers[at] += n
-        types = float(np.max(tables.column("x").to_numpy(), initial=0.0))
-        mean, pull = np.zeros(len(customers)), np.full(len(customers), (strength + discount * types) / (types + 1))
-        for k in range(sweeps):
-            mean += seat(customers, pull, discount, drawn(w.hashes, seed + k)) / sweeps
-        held = customers - discount * mean
-        x, y = float(customers.sum()), float(discount * mean.sum())
+        types, total = (float(np.max(tables.column(c).to_numpy(), initial=0.0)) for c in "xy")
+        pull = np.full(len(customers), (strength + discount * total) / (types + 1))
+        seats = sum(seat(customers, pull, discount, drawn(w.hashes, s)) for s in seeds)
+        before = _all_numbers(came, "a").reshape(past, 2, len(customers))
+        states = np.concatenate((before, np.stack((customers, seats))[None])) if keep else before
         if to_blocks:
-            rows = [(b, PARENT, shard, _blob(held[at], np.float32), None, None, None, x, y) for b, at in zip(w.blocks, w.places)]
-        else:
-            rows = [(c, PARENT, shard, _blob(held[at], np.float32), None, None, None, x, y) for c, at in zip(tables.column("src").to_pylist(), asked)]
-        return _messages(rows)
+            totals = _blob(states.sum(axis=2, dtype=np.float64), np.float64)
+            return _messages([(b, PARENT, shard, _planes(states[:, 0, at].ravel()), _planes(states[:, 1, at].ravel()), totals, None, 0.0, 0.0) for b, at in zip(w.blocks, w.places)])
+        rows = [(c, PARENT, shard, _planes(customers[at]), _planes(seats[at]), None, None, float(customers.sum()), float(seats.sum())) for c, at in zip(tables.column("src").to_pylist(), asked)]
+        rows.append((shard, SEATED, shard, _planes(states.ravel()), _planes(lone), None, None, 0.0, 0.0))
+        return _messages(rows + _passed(sent, STATE))
 
     return seat_parent
 
 
-def _parent(held: np.ndarray, customers: float, free: float, types: float, strength: float) -> np.ndarray:
-    """The parent's predictive probabilities, from what the tables hold and what they leave free."""
-    return (held + (strength + free) / (types + 1)) / (strength + customers)
+def _parent(customers: np.ndarray, seats: np.ndarray, n: float, tables: float, types: float, strength: float, discount: float) -> np.ndarray:
+    """The parent's predictive probabilities, from what its tables hold and what they leave free; ``n`` and ``tables`` are its totals."""
+    return (customers - discount * seats + (strength + discount * tables) / (types + 1)) / (strength + n)
+
 
+class Seating:
+    """A context shard about to be seated: its restaurants, the parent's probabilities and the parent's total of tables."""
 
-def _seat_contexts(shards: int, strength: float, discount: float, seed: int, burn_in: int, sweeps: int):
-    def seat_contexts(told: pa.Table, parent: pa.Table) -> pa.Table:
+    def __init__(self, told: pa.Table, sent: pa.Table, shards: int, strength: float, parent_discount: float, each: int) -> None:
+        self.shard, self.restaurants = told.column("dest")[0].as_py(), Restaurants(_of(told, PAIRS), shards)
+        parent = _of(sent, PARENT)
+        n, total = (float(np.sum(parent.column(c).to_numpy())) for c in "xy")
+        self.total = total / each
+        self.parent = _parent(_all_numbers(parent, "a").astype(float), _all_numbers(parent, "b") / each, n, self.total, self.restaurants.types, strength, parent_discount)
+
+
+def _seats(shard: int, r: Restaurants, tables: np.ndarray, totals: np.ndarray) -> pa.Table:
+    """What the blocks asked: customers and ``tables`` of each pair, and rows of ``totals`` for each context."""
+
+    def look(known: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros((len(values), len(asked)), np.int64)
+        at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        return np.where(known[at] == asked, values[:, at], 0)
+
+    pairs = np.stack((r.counts, tables))
+    return _messages([(b, SEATS, shard, *map(_planes, look(r.keys, pairs, q)), _planes(look(r.context, totals, c.astype(U64)).ravel()), None, 0.0, 0.0) for b, c, q in zip(r.blocks, r.contexts, r.asked)])
+
+
+def _seat_contexts(shards: int, strength: float, discount: float, parent_discount: float, seed: int, burn_in: int, sweeps: int):
+    """All sweeps against a parent that stays."""
+
+    def seat_contexts(told: pa.Table, sent: pa.Table) -> pa.Table:
         if not told.num_rows:
             return _messages([])
-        shard, r = told.column("dest")[0].as_py(), Restaurants(_of(told, PAIRS), shards)
-        parent = _of(parent, PARENT)
-        x, y = (float(np.sum(parent.column(c).to_numpy())) for c in ("x", "y"))
-        probability = _parent(_column(parent, "a", np.float32).astype(float), x, y, r.types, strength)
-        tables, mean = np.minimum(r.counts, 1), np.zeros(len(r.keys))
+        s = Seating(told, sent, shards, strength, parent_discount, sweeps)
+        r = s.restaurants
+        tables, total = np.minimum(r.counts, 1), np.zeros(len(r.keys), np.int64)
         for k in range(burn_in + sweeps):
-            tables = r.sweep(tables, probability, strength, discount, seed + 1000 + k)
+            tables = r.sweep(tables, s.parent, strength, discount, seed + 1000 + k)
             if k >= burn_in:
-                mean += tables / sweeps
-        held = (r.counts - discount * mean).astype(np.float32)
-        free = (discount * np.bincount(r.of, mean, minlength=len(r.context))).astype(np.float32)
+                total += tables
+        return _seats(s.shard, r, total, r.totals(total)[None])
 
-        def look(known: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-            if not len(known):
-                return np.zeros(len(asked), np.float32)
-            at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-            return np.where(known[at] == asked, values[at], np.float32(0))
+    return seat_contexts
 
-        rows = [(b, SEATS, shard, _blob(look(r.keys, held, q), np.float32), _blob(look(r.context, free, c.astype(U64)), np.float32), None, None, 0.0, 0.0) for b, c, q in zip(r.blocks, r.contexts, r.asked)]
-        return _messages(rows)
 
-    return seat_contexts
+def _sweep_contexts(shards: int, strength: float, discount: float, parent_discount: float, salt: int, past: int, keep: int):
+    """One sweep after ``past`` states of the shard, of which the last ``keep`` and the new one go on; tells the parent the new tables."""
+
+    def sweep_contexts(told: pa.Table, sent: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return _messages([])
+        s = Seating(told, sent, shards, strength, parent_discount, 1)
+        r = s.restaurants
+        states = _all_numbers(_of(sent, STATE), "a").reshape(past, len(r.many))
+        tables = np.minimum(r.counts, 1)
+        if past:
+            tables[r.many] = states[-1]
+        tables = r.sweep(tables, s.parent, strength, discount, salt)
+        states = np.concatenate((states[past - keep :], tables[None, r.many]))
+        rows = [(s.shard, STATE, s.shard, _planes(states.ravel()), None, None, None, 0.0, 0.0)]
+        return _messages(r.told(s.shard, tables, s.total) + rows + _passed(sent, SEATED))
+
+    return sweep_contexts
+
+
+def _tell_seats(shards: int, sweeps: int):
+    def tell(told: pa.Table, sent: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return _messages([])
+        shard, r = told.column("dest")[0].as_py(), Restaurants(_of(told, PAIRS), shards)
+        tables = np.repeat(np.minimum(r.counts, 1)[None], sweeps, axis=0)
+        tables[:, r.many] = _all_numbers(_of(sent, STATE), "a").reshape(sweeps, len(r.many))
+        return _seats(shard, r, tables.sum(axis=0), np.stack([r.totals(t) for t in tables]))
+
+    return tell
 
 
 SCORES = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(shards: int, min_context: int, hot_context: int, strength: float):
+def _score(shards: int, min_context: int, hot_context: int, strength: float, discount: float, parent_discount: float, sweeps: int, states: int):
+    """Scores by the mean over ``states`` of the model, each of them the mean of as many seatings as make ``sweeps``."""
+    each = sweeps // states
+
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in SCORES.split(", ")]
         if not docs.num_rows:
@@ -397,20 +491,23 @@ def _score(shards: int, min_context: int, hot_context: int, strength: float):
         n_all, types = (float(np.sum(numbers.column(c).to_numpy())) for c in ("x", "y"))
         p = Pairs(t, *_known(answers), shards, min_context, hot_context)
         parent = _of(answers, PARENT)
-        x, y = (float(np.sum(parent.column(c).to_numpy())) for c in ("x", "y"))
-        held = np.zeros(len(t.hashes))
-        if parent.num_rows:
-            held = _column(parent, "a", np.float32).astype(float)
-        parents = _parent(held, x, y, types, strength)
-        seats = _of(answers, SEATS)
+        customers, seats = (np.concatenate([np.zeros((states, 0)), *(v.reshape(states, -1) for v in _numbers(parent, c))], axis=1) for c in "ab")
+        totals = _column(parent, "c", np.float64).reshape(-1, states, 2).sum(axis=0)
+        told = _of(answers, SEATS)
         pair_held = np.zeros(len(p.keys))
-        pair_held[p.order] = _column(seats, "a", np.float32)
-        free = np.bincount(p.context[p.context_order], _column(seats, "b", np.float32), minlength=len(t.hashes))
+        pair_held[p.order] = _all_numbers(told, "a") - discount / sweeps * _all_numbers(told, "b")
+        tables = np.concatenate([np.zeros((states, 0)), *(v.reshape(states, -1) for v in _numbers(told, "c"))], axis=1)
+        del answers, numbers, parent, told
         own = np.zeros(len(t.token))
         own[p.asks] = pair_held[p.which]
         u = t.context
-        guess = parents[t.token]
-        guess = np.where(p.open[u], (own + (strength + free[u]) * guess) / (strength + p.counts[u]), guess)
+        guess, given = np.zeros(len(t.token)), np.zeros(len(t.token))
+        for k in range(states):
+            chance = _parent(customers[k], seats[k] / each, totals[k, 0], totals[k, 1] / each, types, strength, parent_discount)[t.token]
+            free = discount / each * np.bincount(p.context[p.context_order], tables[k], minlength=len(t.hashes))
+            given += (strength + free[u]) * chance / states
+            guess += chance / states
+        guess = np.where(p.open[u], (own + given) / (strength + p.counts[u]), guess)
         counts = p.counts[t.token]
         base = np.log10((p.counts + 0.1) / (n_all + 0.1 * (types + 1)))[t.token]
         total = lambda v: np.add.reduceat(v, t.first) if len(v) else np.zeros(0)  # noqa: E731  no text is without its end
@@ -435,15 +532,20 @@ def model_scores(
     seed: int = 42,
     blocks: int | None = None,
     shards: int | None = None,
+    reseat: bool = False,
 ) -> DataFrame:
     """Scores of every row; the model learns from the rows where ``held_out`` is false.
 
     ``key`` must be an integer column. ``blocks`` and ``shards`` default to the session's shuffle
-    partitions; both must grow with the input, so that one of them fits into a task's memory.
+    partitions, or one for each ``BLOCK_BYTES`` of text if these are fewer; both must grow with the input, so that one of them fits into a task's memory. ``reseat``: the
+    parent is seated anew, on the contexts' tables, in every sweep.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not (blocks and shards):
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).head()[0] or 0
+        parts = min(parts, max(1, -(-size // BLOCK_BYTES)))
     n, s = blocks or parts, shards or parts
     own = docs.select(
         F.col(key).cast("long").alias("k"),
@@ -458,8 +560,26 @@ def model_scores(
     numbered = told.groupBy("dest").applyInArrow(_number(s), MESSAGE)
     asked = by_block.cogroup(numbered.groupBy("dest")).applyInArrow(_ask_pairs(s, min_context, hot_context), MESSAGE)
     tables = asked.groupBy("dest").applyInArrow(_tell_tables(s), MESSAGE)
-    parent = lambda to_blocks: told.groupBy("dest").cogroup(tables.groupBy("dest")).applyInArrow(_seat_parent(strength, parent_discount, seed, sweeps, to_blocks), MESSAGE)
-    seats = asked.groupBy("dest").cogroup(parent(False).groupBy("dest")).applyInArrow(_seat_contexts(s, strength, discount, seed, burn_in, sweeps), MESSAGE)
-    answers = numbered.unionByName(parent(True)).unionByName(seats)
-    out = by_block.cogroup(answers.groupBy("dest")).applyInArrow(_score(s, min_context, hot_context, strength), SCORES)
+
+    def parent(sent: DataFrame, seeds: list[int], past: int, keep: bool, to_blocks: bool) -> DataFrame:
+        return told.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(_seat_parent(strength, parent_discount, seeds, past, keep, to_blocks), MESSAGE)
+
+    def contexts(sent: DataFrame, step: Callable) -> DataFrame:
+        return asked.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(step, MESSAGE)
+
+    if reseat:
+        # A state to score with is the contexts after a sweep and the parent seated on them.
+        told_tables, kept = tables, 0
+        for k in range(burn_in + sweeps):
+            seated = parent(told_tables, [seed + k], max(kept - 1, 0), k > burn_in, False)
+            told_tables = contexts(seated, _sweep_contexts(s, strength, discount, parent_discount, seed + 1000 + k, min(k, max(kept, 1)), kept))
+            kept += k >= burn_in
+        last = parent(told_tables, [seed + burn_in + sweeps], sweeps - 1, True, True)
+        seats = contexts(told_tables, _tell_seats(s, sweeps))
+    else:
+        seeds = list(range(seed, seed + sweeps))
+        last = parent(tables, seeds, 0, True, True)
+        seats = contexts(parent(tables, seeds, 0, False, False), _seat_contexts(s, strength, discount, parent_discount, seed, burn_in, sweeps))
+    answers = numbered.unionByName(last).unionByName(seats)
+    out = by_block.cogroup(answers.groupBy("dest")).applyInArrow(_score(s, min_context, hot_context, strength, discount, parent_discount, sweeps, sweeps if reseat else 1), SCORES)
     return out.withColumnRenamed("k", key)

@@ -467,6 +467,72 @@ def test_scores_are_those_of_a_plain_sampler(spark):
         assert math.isclose(got[d], sum(math.log10(probability(*p)) for p in chain(t)), rel_tol=1e-5)
 
 
+def test_parent_is_seated_on_the_tables_of_each_sweep(spark):
+    """Contexts and parent in turn in plain Python; scores average the probabilities of each state, whatever the blocks and shards."""
+    from coppice.llm.bytescan import span_hashes
+
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(9)]
+    train = [(k, " ".join(rng.choices(words, weights=range(9, 0, -1), k=rng.randint(0, 12)))) for k in range(40)]
+    held = [(1000, "v0 v1 v8"), (1001, "v3 zz v0"), (1002, "")]
+    docs = spark.createDataFrame(train + held, "doc_id long, text string")
+    runs = [{r.doc_id: r.score for r in pitman_yor.model_scores(docs, F.col("doc_id") >= 1000, strength=0.7, discount=0.5, parent_discount=0.4, burn_in=burn_in, sweeps=2, seed=5, blocks=b, shards=s, reseat=True).collect()} for b, s, burn_in in ((2, 3, 1), (3, 16, 1), (2, 3, 0))]
+
+    def hash_of(w):
+        return int(pitman_yor.END if w == "<end>" else pitman_yor.BEGIN if w == "<begin>" else span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
+
+    def chain(text):
+        row = ["<begin>", *text.split(), "<end>"]
+        return list(zip(row, row[1:]))
+
+    def seated(count, pull, d, key, salt):
+        draw, tables = pitman_yor.drawn(np.array([key], np.uint64), salt), 1
+        for n in range(1, count):
+            tables += bool(draw(np.array([0]), n)[0] * (n - d * tables + pull) < pull)
+        return tables
+
+    pairs, size = Counter(p for _, t in train for p in chain(t)), Counter()
+    for (u, _), c in pairs.items():
+        size[u] += c
+    known = {w for _, w in pairs}
+    asked = {p for _, t in train + held for p in chain(t)} | {(u, w) for u in size for w in [*known, "never"]}
+
+    def plain(burn_in, sweeps):
+        tables, total, states = dict.fromkeys(pairs, 1), len(known), []
+        for k in range(burn_in + sweeps + 1):
+            customers, open_tables = Counter(), Counter()
+            for (u, w), t in tables.items():
+                customers[w] += t
+                open_tables[u] += t
+            seats = {w: seated(customers[w], (0.7 + 0.4 * total) / (len(known) + 1), 0.4, hash_of(w), 5 + k) for w in known}
+            total = sum(seats.values())
+            parent = {w: (customers[w] - 0.4 * seats.get(w, 0) + (0.7 + 0.4 * total) / (len(known) + 1)) / (0.7 + customers.total()) for w in {w for _, w in asked}}
+            if k > burn_in:
+                states.append({(u, w): (pairs[u, w] - 0.5 * tables.get((u, w), 0) + (0.7 + 0.5 * open_tables[u]) * parent[w]) / (0.7 + size[u]) if size[u] else parent[w] for u, w in asked})
+            tables = {(u, w): seated(c, (0.7 + 0.5 * open_tables[u]) * parent[w], 0.5, (hash_of(u) & 0xFFFFFFFF) << 16 | hash_of(w) >> 48, 1005 + k) for (u, w), c in pairs.items()}
+        return {p: sum(s[p] for s in states) / sweeps for p in asked}
+
+    for got, burn_in in zip(runs, (1, 1, 0)):
+        probability = plain(burn_in, 2)
+        for u in size:
+            assert math.isclose(sum(probability[u, w] for w in [*known, "never"]), 1, rel_tol=1e-9)
+        for d, t in train + held:
+            assert math.isclose(got[d], sum(math.log10(probability[p]) for p in chain(t)), rel_tol=1e-9)
+
+
+def test_language_model_query_reseats_the_parent(spark, monkeypatch):
+    """The query's scores are those of the sampler with the parent in its loop."""
+    from coppice.llm import queries
+
+    rng = random.Random(4)
+    words = [f"v{k}" for k in range(30)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, weights=range(30, 0, -1), k=40))) for k in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    got, whole, once = ({r.doc_id: r.score for r in rows.collect()} for rows in (queries.op7_pitman_yor(spark, ""), pitman_yor.model_scores(docs, held, reseat=True), pitman_yor.model_scores(docs, held)))
+    assert got == whole and got != once
+
+
 def test_seating():
     counts = np.full(4000, 300)
     draw = pitman_yor.drawn(np.arange(4000, dtype=np.uint64), 1)
