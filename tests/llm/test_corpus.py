@@ -267,6 +267,51 @@ def test_line_dedup_finds_all_near_lines(spark):
     assert one == cut_up
 
 
+def test_few_links_are_settled_in_one_task(spark, monkeypatch):
+    """Up to a bound no rounds run, beyond it they do; the components are the same."""
+    from coppice.llm import components as module
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000 - k) for k in range(50)] + [(1, None), (7, 7)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want, rounds = {tuple(r) for r in components(edges).collect()}, []
+    monkeypatch.setattr(module, "_large_star", lambda pairs, whole=module._large_star: rounds.append(1) or whole(pairs))
+    assert {tuple(r) for r in components(edges, few=1000).collect()} == want and not rounds
+    assert {tuple(r) for r in components(edges, few=100).collect()} == want and rounds
+    assert components(edges.filter("a = 7"), few=10).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_first_places_come_from_the_match(kind):
+    """Of each line the first place and the number of places, also where shards go over batches and held places are cut down."""
+    rng = random.Random(2)
+    rows = sorted(((h % 7, rng.randrange(40), rng.randrange(3), rng.randrange(9), h) for h in (rng.randrange(30) ** 2 // 30 for _ in range(3000))), key=lambda r: r[0])
+    name = (lambda k: k) if kind == "long" else str
+    id_type = pa.int64() if kind == "long" else pa.string()
+    columns = [(pa.int32(), 0), (id_type, 1), (pa.int64(), 2), (pa.int32(), 3), (pa.int64(), 4)]
+    batches = [pa.record_batch([*(pa.array([name(r[c]) if c == 1 else r[c] for r in rows[i : i + 170]], t) for t, c in columns), pa.nulls(len(rows[i : i + 170]), pa.binary())], names=line_dedup._SCANNED) for i in range(0, 3000, 170)]
+    want, n = {}, Counter()
+    for _, i, t, line, h in rows:
+        want[h] = min(want.get(h, (name(i), t, line)), (name(i), t, line))
+        n[h] += 1
+    for most in (1 << 18, 50):
+        out = pa.Table.from_batches(line_dedup._match(0.8, id_type, most=most)(iter(batches))).to_pylist()
+        firsts = [r for r in out if r["n"] is not None]
+        assert sum(r["n"] is None for r in out) == 3000 and len(firsts) == len(want)
+        assert {r["hash"]: ((r["id"], r["tie"], r["line"]), r["n"]) for r in firsts} == {h: (want[h], n[h]) for h in want}
+
+
+def test_order_of_words_decides_no_line(spark, monkeypatch):
+    """Frequencies of words order the runs that lines meet by; any others give the same lines."""
+    rows = edited_lines(12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, rng = brute_all_lines(rows, 5), np.random.default_rng(1)
+    for classes in (np.zeros(line_dedup.CLASSES, np.uint8), rng.integers(0, 90, line_dedup.CLASSES).astype(np.uint8)):
+        monkeypatch.setattr(line_dedup, "_word_classes", lambda *_, c=classes: c)
+        for most in (8_192, 3):
+            assert {(r.id, r.line) for r in line_dedup.repeated_lines(docs, short=False, most_lines=most).collect()} == want
+
+
 def test_linked_lines_lie_in_one_area():
     """Every linked pair is connected by the shared runs, whatever the order of words, the shards and the widths."""
     for seed in range(6):  # all widths, with and without runs that are held wide
