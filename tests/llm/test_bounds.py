@@ -74,3 +74,51 @@ def test_slices_keep_rows_whole():
     _, offsets = text_buffers(pa.array(["a" * 10, "", "b" * 300, None, "c"]))
     parts = list(slices(offsets, 100))
     assert [i for i, _ in parts] == [0, 2, 3] and parts[-1][1] == 5 and all(j == k for (_, j), (k, _) in zip(parts, parts[1:]))
+
+
+class _Counting:
+    """numpy that counts the pairs of which the shift is tested."""
+
+    pairs = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def abs(self, x):
+        self.pairs += len(x)
+        return np.abs(x)
+
+
+def test_lines_of_a_run_meet_near_their_place_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    k = 2500
+    n = rng.integers(40, 50, k).astype(np.uint64)
+    marks = np.zeros((12, k), np.uint64)
+    marks[0], marks[1], marks[2], marks[3], marks[4] = 7, np.arange(k), n, rng.integers(0, 40, k), 1
+    marks[5] = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    marks[6] = marks[8] = marks[5]
+    monkeypatch.setattr(line_dedup, "np", counting := _Counting())
+    a, b = line_dedup._links(marks, 0.8)
+    monkeypatch.undo()
+    assert counting.pairs < k * k // 2  # two counts a pair: less than half of all
+    x, y = np.triu_indices(k, 1)
+    size, at, fold = marks[2].astype(np.int64), marks[3].astype(np.int64), marks[5]
+    limit, gap = line_dedup._allowed(np.maximum(size[x], size[y]), 0.8), np.abs(size[x] - size[y])
+    near = (np.abs(at[x] - at[y]) + np.abs(size[x] - at[x] - size[y] + at[y]) <= limit) & (np.bitwise_count(fold[x] ^ fold[y]) <= 2 * limit - gap)
+    want, _ = hamming._settle(np.arange(k), x[near], y[near])
+    got, _ = hamming._settle(np.arange(k), a.astype(np.int64), b.astype(np.int64))
+    assert (got == want).all() and 1 < len(set(want.tolist())) < k
+
+
+def test_bags_rule_out_long_lines_that_sketches_admit(monkeypatch):
+    rng = np.random.default_rng(6)
+    lines = [rng.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(40)]
+    lines += [np.where(rng.random(400) < share, rng.integers(0, 1 << 62, 400).astype(np.uint64), lines[k]) for k, share in enumerate(np.linspace(0, 0.3, 40))]
+    words, n = np.concatenate(lines), np.full(80, 400)
+    heads = np.cumsum(n) - n
+    x, y = np.triu_indices(80, 1)
+    want = np.array([line_dedup.edit_within(lines[a].tolist(), lines[b].tolist(), 80) if b == a + 40 else False for a, b in zip(x, y)])
+    tried, banded = [], line_dedup._banded
+    monkeypatch.setattr(line_dedup, "_banded", lambda w, h, m, a, b, limit, band: (tried.append(len(a)), banded(w, h, m, a, b, limit, band))[1])
+    assert (line_dedup.edits_within(words, heads, n, x, y, 0.8) == want).all() and 10 < want.sum() < 40
+    assert sum(tried) < 200  # of 3,160 pairs, in bands that widen
