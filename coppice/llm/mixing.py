@@ -102,8 +102,10 @@ def mixed(
     # Columns of the documents travel in one struct, out of the way of the names used here.
     whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     leaf = [F.coalesce(c.cast("string"), F.lit("(null)")).alias(f"_l{k}") for k, c in enumerate(levels.values())]
-    named = docs.select(whole_row, *leaf, n_tokens(text).alias("_tokens"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    sizes = cut(named.groupBy(*path).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
+    named = docs.select(whole_row, *leaf, F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    # Texts are counted and hashed once for all sums; of what is selected they are counted again.
+    counted = cut(named.select(*path, n_tokens("_text").alias("_tokens"), "_key", F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))).alias("_hash")))
+    sizes = cut(counted.groupBy(*path).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")))
     few = sizes.count() <= broadcast_leaves
     plan = leaf_budgets(sizes, weights, len(levels), budget, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens") + 1e-9)).otherwise(F.lit(0)).cast("long"))
@@ -112,8 +114,11 @@ def mixed(
     plan = cut(plan.select(*path, F.col("whole").alias("_whole"), F.col("rest").alias("_rest"), digits.alias("_digits")))
 
     salt = F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.concat_ws("/", *path), F.coalesce(F.col("_key").cast("string"), F.lit("")))
-    order = F.concat(F.md5(salt.cast("binary")), F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))), 16, "0")))
-    slim = _by_leaf(named, plan, path, few).select(*path, "_rest", "_tokens", order.alias("_order"), F.expr("_digits")).withColumn("_bucket", F.expr("substring(_order, 1, _digits)"))
+
+    def order(text_hash: Column) -> Column:
+        return F.concat(F.md5(salt.cast("binary")), F.lower(F.lpad(F.hex(text_hash), 16, "0")))
+
+    slim = _by_leaf(counted, plan, path, few).select(*path, "_rest", "_tokens", order(F.col("_hash")).alias("_order"), F.expr("_digits")).withColumn("_bucket", F.expr("substring(_order, 1, _digits)"))
     upto = Window.partitionBy(*path).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = slim.groupBy(*path, "_rest", "_bucket").agg(F.sum("_tokens").alias("t")).withColumn("end", F.sum("t").over(upto))
     # The first bucket that goes past the rest of the budget, and what lies before it.
@@ -125,6 +130,6 @@ def mixed(
     # Without a row that fits, the edge's prefix sorts before its rows; without an edge all rows are taken.
     plan = plan.join(edge, path, "left").join(cutoff, path, "left").select(*path, "_whole", F.coalesce("_last", "_edge", F.lit("g")).alias("_cutoff"))
     plan = cut(plan)
-    times = F.least(F.col("_whole") + (order <= F.col("_cutoff")).cast("long"), F.lit(max_epochs))
-    out = _by_leaf(named, plan, path, few).withColumn("_times", times.cast("int")).filter("_times > 0")
+    times = F.least(F.col("_whole") + (order(F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))) <= F.col("_cutoff")).cast("long"), F.lit(max_epochs))
+    out = _by_leaf(named, plan, path, few).withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_tokens", n_tokens("_text"))
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(prefix + c[1:]) for c in outputs])

@@ -1,10 +1,12 @@
 """Long words, many copies, hot keys and repeated labels stay within bounds and give whole results."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from coppice.llm import hamming, line_dedup, simhash, substring, verified
+from coppice.llm import hamming, line_dedup, mixing, near_dup, simhash, substring, verified
 from coppice.llm.components import components
 from tests.llm.test_corpus import brute_substring
 
@@ -122,3 +124,44 @@ def test_bags_rule_out_long_lines_that_sketches_admit(monkeypatch):
     monkeypatch.setattr(line_dedup, "_banded", lambda w, h, m, a, b, limit, band: (tried.append(len(a)), banded(w, h, m, a, b, limit, band))[1])
     assert (line_dedup.edits_within(words, heads, n, x, y, 0.8) == want).all() and 10 < want.sum() < 40
     assert sum(tried) < 200  # of 3,160 pairs, in bands that widen
+
+
+def test_near_prints_are_compared_in_groups_without_a_trie(spark, monkeypatch):
+    seen, links = [], verified.hamming_links
+    monkeypatch.setattr(verified, "hamming_links", lambda *a, **how: (seen.append(how.get("trie", True)), links(*a, **how))[1])
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:58], "x"])), (3, "quite another text")], "doc_id long, text string")
+    assert {r.doc_id for r in near_dup.without_near_duplicates(docs).collect()} == {1, 3} and seen == [False]
+    rng = np.random.default_rng(8)
+    held = np.repeat(np.arange(4), 150)
+    prints = rng.integers(0, 1 << 24, 600).astype(np.uint64)
+    ids = np.arange(600)
+    trie, pairs = (hamming._settle(ids.copy(), *hamming._forest(held, prints, ids, 4, trie=trie))[0] for trie in (True, False))
+    assert (trie == pairs).all() and 4 < len(set(trie.tolist())) < 600
+
+
+def test_mixing_counts_the_tokens_of_a_text_twice_at_most(spark, monkeypatch):
+    made, kept = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: (made.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    docs = spark.createDataFrame([(k, "a b c " * (k % 7 + 1)) for k in range(50)], "doc_id long, text string")
+    out = mixing.mixed(docs, {"one": F.lit("x")}, None, 0.5, 1, 1)
+    made.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum("regexp_count" in plan or "regexp_extract_all" in plan for plan in made) == 2
+    assert 0.4 * 200 < out.agg(F.sum("_tokens")).head()[0] <= 0.5 * 600
+
+
+def test_large_groups_of_near_prints_are_not_held_pair_by_pair():
+    rng = np.random.default_rng(9)
+    prints = np.unique(np.concatenate([rng.integers(0, 1 << 62), *[(1 << rng.integers(0, 62, 3000)) ^ (1 << rng.integers(0, 62, 3000)) ^ (1 << rng.integers(0, 62, 3000))]], axis=None).astype(np.uint64))
+    other = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    keys = np.concatenate([prints, other, prints[:50]])
+    groups = np.repeat([0, 1], [len(prints) + len(other), 50])
+    order = np.lexsort((keys, groups))
+    groups, keys = groups[order], keys[order]
+    tracemalloc.start()
+    labels, a, b = hamming.block_components(groups, keys, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert (labels == hamming.trie_components(groups, keys, 6)[0]).all()
+    assert len(a) == len(keys) - len(set(labels.tolist())) and (np.bitwise_count(keys[a] ^ keys[b]) <= 6).all()
