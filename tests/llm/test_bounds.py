@@ -165,3 +165,41 @@ def test_large_groups_of_near_prints_are_not_held_pair_by_pair():
     assert peak < 64 << 20
     assert (labels == hamming.trie_components(groups, keys, 6)[0]).all()
     assert len(a) == len(keys) - len(set(labels.tolist())) and (np.bitwise_count(keys[a] ^ keys[b]) <= 6).all()
+
+
+def _messages(rng, k, runs, size=400):
+    """Messages of marks of lines that share runs, each mark told twice."""
+    run, line = rng.integers(0, runs, k).astype(np.uint64), np.arange(k, dtype=np.uint64) << np.uint64(16)
+    n = rng.integers(20, 40, k).astype(np.uint64)
+    at, maps = (rng.random(k) * n).astype(np.uint64), rng.integers(0, 1 << 63, (1, k), dtype=np.uint64) & rng.integers(0, 1 << 63, (1, k), dtype=np.uint64)
+    maps &= rng.integers(0, 1 << 63, (1, k), dtype=np.uint64)
+    told = [line_dedup._packed(run[i : i + size], line[i : i + size], n[i : i + size], at[i : i + size], maps[:, i : i + size]) for i in range(0, k, size)] * 2
+    m = len(told)
+    return pa.record_batch([pa.array([1] * m, pa.int32()), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())), pa.array(told, pa.binary())], names=line_dedup._SCANNED)
+
+
+def test_marks_over_the_limit_of_a_task_are_linked_as_others():
+    """A shard of more marks than are linked at once gives the parts of one that is linked whole, not one area."""
+    batch = _messages(np.random.default_rng(3), 6000, 400)
+
+    def parts(some):
+        links = pa.Table.from_batches(line_dedup._match(0.8, pa.int64(), some=some)(iter([batch])))
+        a, b = (links.column(c).to_numpy() for c in ("a", "b"))
+        return hamming._settle(np.arange(6000), a, b)[0]
+
+    want = parts(1 << 21)
+    assert 10 < len(set(want.tolist())) < 6000 and all((parts(some) == want).all() for some in (5000, 700))
+
+
+def test_marks_and_sketches_are_bounded_in_memory():
+    batch = _messages(np.random.default_rng(4), 500_000, 50_000, 20_000)
+    batches = [batch.slice(i, 1) for i in range(batch.num_rows)]
+    tracemalloc.start()
+    for _ in line_dedup._match(0.8, pa.int64())(iter(batches)):
+        pass
+    marks = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    line_dedup._sketches(np.arange(300_000, dtype=np.uint64), np.repeat(np.arange(60_000), 5), 60_000)
+    sketches = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert marks < 250 << 20 and sketches < 40 << 20
