@@ -172,3 +172,21 @@ def test_mining_queries_over_whole_tables(spark, tmp_path):
     why = lambda k, v: "too_few" if len(v) < 2 else "ambiguous" if len(set(v)) > 1 else "unnameable" if k[1] < 10 else None
     want = {(*k, len(v), len(set(v)), why(k, v)) for k, v in groups.items()}
     assert {(r.l_returnflag, r.literal, r.n, r.contexts, r.decline) for r in literal_groups_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_surface_pairs_make_no_row_for_a_shared_function(spark):
+    """Owners of many blocks, names in any type, functions over several tables, nulls."""
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", "B", "é", "ß", None, *"cdefgh"]), rng.choice([None, *range(40)])) for _ in range(200)] + [(f"w{k % 5}", k) for k in range(5000)] + [("w0", k) for k in range(2500)]
+    own = {}
+    for o, f in rows:
+        own.setdefault(o, set()).add(f)
+    own.pop(None)
+    some = {(a, b): own[a] & own[b] - {None} for a in own for b in own if a.encode() < b.encode()}
+    for least in (1, 3):
+        want = {p: (len(s), len(s) / len(own[p[0]] | {(p[1], f) if f is None else f for f in own[p[1]]})) for p, s in some.items() if len(s) >= least}
+        for block in (512, 3):
+            out = M.surface_pairs(spark.createDataFrame(rows, "o string, f int"), "o", "f", least, block)
+            got = {(r.a, r.b): (r.shared, r.jaccard) for r in out.collect()}
+            assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 0.00501 for p in want)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
