@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coppice.session import cut, ship
+
 WINDOW = 100
 
 #: Means, deviations, weights and bias of the published model.
@@ -13,6 +20,9 @@ DEVIATIONS = (0.078555, 0.769656, 0.060406, 0.094452)
 WEIGHTS = (0.431562, 0.345762, 0.480687, 0.098488)
 BIAS = 0.486314
 
+#: What ``tokens`` takes for a token, in lower-cased UTF-8.
+_WORD = re.compile(rb"[a-z]+")
+
 FEATURES = ("mattr", "entropy", "mattr_repeat", "hapax")
 
 
@@ -39,6 +49,59 @@ def features(stream: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     counted = by_token.groupBy(key, "n", "token").agg(F.count(F.lit(1)).alias("c"), F.sum("fresh").alias("fresh"))
     p = F.col("c") / F.col("n")
     sums = counted.groupBy(key, "n").agg(F.count(F.lit(1)).alias("unique"), F.sum("fresh").alias("fresh"), F.count_if(F.col("c") == 1).alias("once"), (F.lit(0.0) - F.sum(p * F.log2(p))).alias("entropy"))
+    return _measures(sums, key, window)
+
+
+def text_features(df: DataFrame, key: str, text: str, window: int = WINDOW, few: int = 1_000_000) -> DataFrame:
+    """``features`` of ``tokens``, each text counted where it is; rows that share their key go the way of streams.
+
+    No token becomes a row: what is shuffled are the keys, to find those that repeat (up to ``few`` of them are broadcast, else joined).
+    """
+    ship(df.sparkSession)
+    again = cut(df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"))
+    n_again = again.count()
+    if n_again <= few:
+        again = F.broadcast(again)
+    several = F.col(key).eqNullSafe(F.col("_key"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.lower(text).cast("binary").alias("t"))
+    names = ["key", "n", "unique", "fresh", "once", "entropy"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_counts(t, window) for t in batch.column(1).to_pylist()]
+            kept = np.array([k for k, c in enumerate(out) if c is not None], np.int64)
+            columns = list(zip(*(c for c in out if c is not None))) or [[]] * 5
+            yield pa.record_batch([batch.column(0).take(pa.array(kept)), *(pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.float64()]))], names=names)
+
+    alone = rows.join(again, F.col("key").eqNullSafe(F.col("_key")), "left_anti") if n_again else rows
+    alone = alone.mapInArrow(scan, f"key {kind}, n long, unique long, fresh long, once long, entropy double")
+    own = _measures(alone.withColumnRenamed("key", key), key, window)
+    if not n_again:
+        return own
+    return own.unionByName(features(tokens(df.join(again, several, "left_semi"), key, text), key, window))
+
+
+def _counts(text: bytes | None, window: int) -> tuple[int, int, int, int, float] | None:
+    """Tokens, distinct ones, their new places in the windows, those that occur once, and the entropy; None without a token."""
+    words = _WORD.findall(text or b"")
+    n = len(words)
+    if not n:
+        return None
+    number: dict[bytes, int] = {}
+    codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    by = np.argsort(codes, kind="stable")
+    last = np.full(n, -1)
+    same = codes[by[1:]] == codes[by[:-1]]
+    last[by[1:][same]] = by[:-1][same]
+    at = np.arange(n)
+    fresh = np.maximum(np.minimum(at, n - window) - np.maximum(np.maximum(last + 1, at - (window - 1)), 0) + 1, 0)
+    counts = np.bincount(codes)
+    p = counts / n
+    return n, len(counts), int(fresh.sum()), int((counts == 1).sum()), float(0.0 - (p * np.log2(p)).sum())
+
+
+def _measures(sums: DataFrame, key: str, window: int) -> DataFrame:
     plain = F.col("unique") / F.col("n")
     mattr = F.when(F.col("n") < window, plain).otherwise(F.col("fresh") / (F.lit(float(window)) * (F.col("n") - window + 1)))
     return sums.select(key, "n", "unique", mattr.alias("mattr"), "entropy", (mattr * (F.col("n") - F.col("unique")) / F.col("n")).alias("mattr_repeat"), (F.col("once") / F.col("unique")).alias("hapax"))

@@ -23,7 +23,7 @@ _FEATURES_SQL = """
     SELECT doc_id, n AS n_tokens, u AS n_unique, round(mattr, 6) AS mattr, round(entropy, 6) AS entropy, round(mattr * (n - u) / n, 6) AS mattr_repeat, round(once::DOUBLE / u, 6) AS hapax FROM m"""
 )
 def vocab_features(spark, d):
-    out = V.features(V.tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    out = V.text_features(table(spark, d, "documents"), "doc_id", "text")
     return out.select("doc_id", F.col("n").alias("n_tokens"), F.col("unique").alias("n_unique"), *[F.round(c, 6).alias(c) for c in V.FEATURES])
 
 
@@ -33,7 +33,7 @@ def vocab_features(spark, d):
     SELECT doc_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least(z, 30.0::DOUBLE), -30.0::DOUBLE))), 6) AS probability FROM z"""
 )
 def vocab_probability(spark, d):
-    out = V.features(V.tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    out = V.text_features(table(spark, d, "documents"), "doc_id", "text")
     return out.select("doc_id", F.round(V.probability(), 6).alias("probability"))
 
 
@@ -76,5 +76,5 @@ _LINEAR = {"plain": ([4.0, -0.3], 1.0), "rich": ([-4.0, 0.6], 0.0), "none": ([0.
     SELECT doc_id, round(greatest(a, b, c) / (a + b + c), 6) AS p, CASE WHEN greatest(a, b, c) / (a + b + c) < 0.5 OR c >= greatest(a, b) THEN NULL WHEN a > b THEN 'plain' ELSE 'rich' END AS label FROM e"""
 )
 def linear_score(spark, d):
-    out = V.features(V.tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id").withColumn("best", V.linear(["mattr", "entropy"], _LINEAR, 0.5))
+    out = V.text_features(table(spark, d, "documents"), "doc_id", "text").withColumn("best", V.linear(["mattr", "entropy"], _LINEAR, 0.5))
     return out.select("doc_id", F.round("best.p", 6).alias("p"), "best.label")

@@ -190,3 +190,30 @@ def test_surface_pairs_make_no_row_for_a_shared_function(spark):
             got = {(r.a, r.b): (r.shared, r.jaccard) for r in out.collect()}
             assert got.keys() == want.keys() and all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 0.00501 for p in want)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_of_texts_are_those_of_their_streams(spark):
+    """Whole texts give what token rows give, also for keys that repeat, null keys and texts without tokens; tokens are not shuffled."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["ab", "Cd", "É", "İx", "e1f", "Kelvin", *"ghij"]) for _ in range(n))
+    rows = [(k, text(rng.choice([1, 4, 9, 10, 11, 80]))) for k in range(30)] + [(3, text(40)), (4, None), (31, None), (32, "1 2"), (33, "")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    got, want = ({r.id: r for r in out.collect()} for out in (V.text_features(docs, "id", "text", 10), V.features(V.tokens(docs, "id", "text"), "id", 10)))
+    assert got.keys() == want.keys() and len(got) >= 29
+    for k, r in want.items():
+        assert list(got[k])[:3] == list(r)[:3] and list(got[k])[3:] == pytest.approx(list(r)[3:], abs=1e-12)
+    lone = V.text_features(spark.createDataFrame([(None, "a b a")], "id int, text string"), "id", "text", 10).collect()
+    assert [(r.id, r.n, r.unique) for r in lone] == [(None, 3, 2)]
+
+
+def test_vocabulary_queries_keep_texts_where_they_are(spark, tmp_path):
+    from coppice.plans import vocabulary as Q
+
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rng = random.Random(6)
+    spark.createDataFrame([(k, " ".join(rng.choices(words, k=3000))) for k in range(8)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    status = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: status.executorList(False).apply(0).totalShuffleWrite()
+    for name in ("vocab_features", "vocab_probability", "linear_score"):
+        before = written()
+        assert len(getattr(Q, name)(spark, str(tmp_path)).collect()) == 8 and written() - before < 20_000
